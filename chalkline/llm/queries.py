@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_classifier, quality_rules, simhash
-from .shared import fold_of, table
+from . import decontamination, pii, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter, warc
+from .shared import fold_of, shared_folder, table
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.SecretLedger(spark, shared_folder(spark, "secret-ledger"))
+    ledger.scan(docs)
+    return secrets.report(ledger.findings(docs))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.find(docs, pii.fit(docs)))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_files.tokenized(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -34,8 +62,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op8_quality_classifier, op9_quality_rules, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_token_files, op5_warc, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": url_filter.SQL}
