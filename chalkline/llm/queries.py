@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, pii, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter, warc
+from . import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter, warc
 from .shared import fold_of, shared_folder, table
 
 
@@ -38,6 +38,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.report(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -62,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_token_files, op5_warc, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_token_files, op5_warc, op6_bpe, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
