@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii
+from .shared import lower_ascii, written
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (
@@ -51,7 +51,8 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 def bad_page(html: Column) -> Column:
     """The outcome of a page by its text: 1 bad, 0 good, null without a text."""
     junk = F.regexp_count(html, F.lit(r"[#*$%]{3}|&amp;&amp;&amp;|!!"))
-    return (junk >= BAD_SHARE * (F.regexp_count(html, F.lit(" ")) + 1)).cast("int")
+    blanks = F.length(html) - F.length(F.replace(html, F.lit(" "), F.lit("")))
+    return (junk >= BAD_SHARE * (blanks + 1)).cast("int")
 
 
 def suffix_of(host: Column) -> Column:
@@ -74,6 +75,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     method of moments from how much its members vary.
     """
     hosts = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = written(hosts, "host-outcomes")  # one pass over the pages serves every level
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
