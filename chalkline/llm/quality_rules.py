@@ -147,11 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> list[
     Without labels, or with labels of one class, the list is empty and rejects nothing.
     """
     chosen = F.broadcast(bounded_labels(labels, "quality", limit))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id")
-    sample = text_statistics(sample).where(~base_failed())
-    names = list(features())
-    sample = sample.select("doc_id", "label", *(c.alias(f"f_{k}") for k, c in features().items()))
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", *(f"f_{k}" for k in names)).limit(limit).toPandas()
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
+    own = features()
+    sample = text_statistics(sample).select("label", base_failed().alias("base_failed"), *(own[k].alias(f"f_{k}") for k in own))
+    rows = sample.toPandas()
+    rows, names = rows[~rows["base_failed"]], list(own)
     x = rows[[f"f_{k}" for k in names]].to_numpy(np.float64).reshape(-1, len(names))
     return learn(x, rows["label"].to_numpy() == 0, names)
 
