@@ -10,6 +10,7 @@ read takes constant time and foreign keys are told with high probability.
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .files import create_folder, open_input, open_output, read_bytes, write_bytes
 from .shared import shared_folder, written
-from .units import core_and_marks, unit_text, units
+from .units import LITERAL, MARKS, unit_text, units
 
 END_ID = 2
-#: Encodings that one Python worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
-BUCKET = 4
+#: Encodings of units that one Python worker remembers; beyond, it starts anew.
+REMEMBERED = 1_000_000
+BUCKET = 2
 MANIFEST = "shard int, payload string, index string, n_docs bigint, n_tokens bigint, first string, last string"
 
 
@@ -36,6 +37,7 @@ class UnitEncoder:
     """A tokenizer of the tokenizers library that encodes each distinct unit once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
@@ -43,23 +45,57 @@ class UnitEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else -1
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        keys = [units(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known, self.pieces = {}, {}
-        new = set().union(*keys) - self.known.keys()
-        parted = {k: core_and_marks(unit_text(k)) for k in new}
-        missing = list({x for pair in parted.values() for x in pair if x} - self.pieces.keys())
-        for x, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.pieces[x] = np.array(e.ids, self.dtype).tobytes()
-        self.pieces[""] = b""
-        for k, (core, marks) in parted.items():
-            self.known[k] = self.pieces[core] + self.pieces[marks]
-        get = self.known.__getitem__
-        return [b"".join(map(get, ks)) + self.end for ks in keys]
+            self.known = {}
+        keys = [units(t) for t in texts]
+        found = [list(map(self.known.get, ks)) for ks in keys]
+        gaps = [i for i, own in enumerate(found) if None in own]
+        self._learn({k for i in gaps for k, v in zip(keys[i], found[i], strict=True) if v is None})
+        known = self.known
+        for i in gaps:
+            found[i] = [v or known[k] for k, v in zip(keys[i], found[i], strict=True)]
+        return [b"".join(own) + self.end for own in found]
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_lines(self, texts: list[str]) -> list[bytes]:
+        """Texts that begin with a blank and hold no line end, many at a time: a line end between two is a token of its own."""
+        out: list[bytes] = []
+        parts = [texts[i : i + 2000] for i in range(0, len(texts), 2000)]
+        width = self.dtype.itemsize
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.flatnonzero(ids == self.line_end) * width).tolist()
+            if len(cuts) != len(part) - 1:
+                out += self._encode_each(part)
+                continue
+            data = ids.tobytes()
+            out += [data[a:z] for a, z in zip([0, *(c + width for c in cuts)], [*cuts, len(data)], strict=True)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Words with marks after them are put together from the two."""
+        known, parted, missing = self.known, [], set()
+        for k in new:
+            core = k.rstrip(MARKS)
+            if len(core) == len(k) or k[0] in "\0\n" or not core or not core[-1].isalnum():
+                missing.add(k)
+                continue
+            marks = LITERAL + k[len(core) :]
+            parted.append((k, core, marks))
+            missing.update(x for x in (core, marks) if x not in known)
+        plain = [k for k in missing if k[0] not in "\0\n" and "\n" not in k]
+        odd = [k for k in missing if k[0] in "\0\n" or "\n" in k]
+        known.update(zip(plain, self._encode_lines([" " + k for k in plain]), strict=True))
+        known.update(zip(odd, self._encode_each([unit_text(k) for k in odd]), strict=True))
+        for k, core, marks in parted:
+            known[k] = known[core] + known[marks]
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -192,8 +228,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
         own, at, name, out = encoder(vocabulary), 0, uuid.uuid4().hex, None
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1)
-            for k in range(0, len(names), 256):
-                for i, data in zip(names[k : k + 256], own.encode(texts.slice(k, 256).to_pylist()), strict=True):
+            for k in range(0, len(names), 1024):
+                for i, data in zip(names[k : k + 1024], own.encode(texts.slice(k, 1024).to_pylist()), strict=True):
                     out = out or open_output(f"{path}/{name}.ids")
                     out.write(data)
                     copies.append(copies[-1] + 1 if ids and ids[-1] == i else 0)

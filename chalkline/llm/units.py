@@ -7,7 +7,7 @@ import re
 #: White space apart from the blank and the newline.
 _OTHER_SPACE = re.compile("[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_MARKS = ".,;:!?#$%&*|\"()[]"
+MARKS = ".,;:!?#$%&*|\"()[]"
 LITERAL = "\0"
 
 
@@ -34,5 +34,5 @@ def unit_text(key: str) -> str:
 
 def core_and_marks(text: str) -> tuple[str, str]:
     """A unit and the punctuation after its last letter or digit, which is a piece of its own."""
-    core = text.rstrip(_MARKS)
+    core = text.rstrip(MARKS)
     return (core, text[len(core) :]) if core and core[-1].isalnum() else (text, "")
