@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
@@ -173,14 +173,19 @@ FIELDS = {
 }
 
 
-def evaluate(records, task: str = "task"):
+def empirical_text(elements: Column) -> Column:
+    """The simplest formula from array of (el, mass); null if the amounts are not in whole ratios."""
+    known = F.create_map(*(F.lit(x) for pair in L.ATOMIC_MASS.items() for x in pair))
+    ratios = whole_ratios(F.transform(elements, lambda e: F.try_divide(e["mass"], F.try_element_at(known, e["el"]))))
+    return F.array_join(F.zip_with(elements, ratios, lambda e, r: F.concat(e["el"], F.when(r > 1, r.cast("string")).otherwise(""))), "")
+
+
+def evaluate(records: DataFrame, task: str = "task") -> DataFrame:
     """records with answer_value, answer_unit and status (ok, undefined, unknown_task). Fields that are missing are null."""
-    for name, kind in FIELDS.items():
-        if name not in records.columns:
-            records = records.withColumn(name, F.lit(None).cast(kind))
-    value, unit = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for name, (formula, own_unit) in EVALUATORS.items():
-        value, unit = F.when(F.col(task) == name, formula().cast("double")).otherwise(value), F.when(F.col(task) == name, F.lit(own_unit)).otherwise(unit)
+    missing = [F.lit(None).cast(kind).alias(name) for name, kind in FIELDS.items() if name not in records.columns]
+    out = records.select("*", *missing)
+    value = F.coalesce(*(F.when(F.col(task) == name, formula().cast("double")) for name, (formula, _) in EVALUATORS.items()))
+    units = F.create_map(*(F.lit(x) for name, (_, unit) in EVALUATORS.items() for x in (name, unit)))
     known = F.coalesce(F.col(task).isin(*EVALUATORS), F.lit(False))
-    out = records.withColumn("answer_value", value).withColumn("answer_unit", unit)
+    out = out.select("*", value.alias("answer_value"), F.try_element_at(units, F.col(task)).alias("answer_unit"))
     return out.withColumn("status", F.when(~known, "unknown_task").when(F.col("answer_value").isNull() | F.isnan("answer_value"), "undefined").otherwise("ok"))

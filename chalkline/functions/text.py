@@ -14,6 +14,11 @@ def strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def strip(text: Column) -> Column:
+    """Without white space on either side."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """Whether text has one of the words as a substring."""
     return F.exists(strings(words), lambda w: F.contains(text, w))

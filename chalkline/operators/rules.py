@@ -41,10 +41,12 @@ def has_severity(found: Column, severity: str) -> Column:
 
 def summary(found: Column) -> Column:
     """Like "2 critical, 1 warning", or "ok"."""
-    parts = []
-    for s in ("critical", "warning", "info"):
-        n = F.size(F.filter(found, lambda i, s=s: i["severity"] == s))
-        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {s}"))))
+
+    def part(severity: str) -> Column:
+        n = F.size(F.filter(found, lambda i: i["severity"] == severity))
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {severity}")))
+
+    parts = [part(s) for s in ("critical", "warning", "info")]
     return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("ok"))
 
 

@@ -477,3 +477,63 @@ def q51_session_windows(spark, sf_dir):
     return e.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+
+
+# ---- documents and confidence
+
+
+@query()
+def q30_markdown_chunks(spark, sf_dir):
+    from ..operators import documents
+
+    # lines of prose become sections, so that every rule of the chunker has work
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    text = F.concat(F.lit("# "), F.col("lang"), F.lit("\n"), F.regexp_replace("text", r"\.\n", ".\n---\n"))
+    files = d.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("source_file"), text.alias("text"))
+    return documents.tag(documents.chunk_markdown(files)).select("chunk_id", "char_count", "content_type", "language", F.sha2("embed_text", 256).alias("embed_sha"))
+
+
+@query()
+def q43_confidence_score(spark, sf_dir):
+    from ..functions import confidence
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", confidence.confidence(F.col("text")).alias("score")).withColumn("tier", confidence.tier(F.col("score")))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) < 5 THEN 0.0 WHEN length(text) < 15 THEN 0.15 WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 3 THEN 0.20
+  WHEN length(regexp_replace(text, '[\x00-\x7F°ΔΩμ→⇌⁺⁻₀₁₂₃₄₅₆₇₈₉αβγδ]', '', 'g')) > 0.30 * length(text) THEN 0.10
+  WHEN regexp_matches(text, '""" + "|".join(f"{c}{{6,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&,") + r"""|[$]{6,}|[*]{6,}|[|]{6,}|[ ]{6,}|[.]{6,}|[0]{6,}|[1]{6,}|[2]{6,}|[3]{6,}|[4]{6,}|[5]{6,}|[6]{6,}|[7]{6,}|[8]{6,}|[9]{6,}') THEN 0.20
+  WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])[A-Z]{10,}($|[^\p{L}\p{N}_])') THEN 0.25 ELSE 0.80 END::DOUBLE AS score FROM documents""")
+def q44_quick_confidence(spark, sf_dir):
+    from ..functions import confidence
+
+    return read(spark, sf_dir, "documents").select("doc_id", confidence.quick_confidence(F.col("text")).alias("score"))
+
+
+@query()
+def q52_classify_questions(spark, sf_dir):
+    from ..functions import questions
+
+    li = read(spark, sf_dir, "lineitem")
+    kind = (F.col("l_orderkey") % 4).cast("int")
+    q = F.array(
+        F.concat(F.lit("Hitungkan bilangan mol "), F.col("l_quantity"), F.lit(" g NaOH")), F.concat(F.lit("kadar tindak balas "), F.col("l_quantity"), F.lit(" cm3 dalam 20 s")),
+        F.concat(F.lit("pH asid dengan [H+] = 0.0"), F.col("l_linenumber"), F.lit(" mol dm-3")), F.concat(F.lit("isipadu "), F.col("l_discount"), F.lit(" mol gas pada RTP")),
+    )[kind]
+    records = questions.task_records(li.select("l_orderkey", "l_linenumber", q.alias("question")))
+    return records.groupBy("task", "rule").agg(F.count("*").alias("n"))
+
+
+def _sql_issues() -> str:
+    return "SELECT l_orderkey, l_linenumber, (CASE WHEN m < 0 THEN 1 ELSE 0 END) + (CASE WHEN m > 10000 THEN 1 ELSE 0 END) + (CASE WHEN m = 0 THEN 1 ELSE 0 END) + (CASE WHEN p < 0 OR p > 14 THEN 1 ELSE 0 END) AS n_issues FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 5 - 200 AS m, l_discount * 200 AS p FROM lineitem)"
+
+
+@query(_sql_issues())
+def q53_validate_records(spark, sf_dir):
+    from ..operators import rules as R
+    from ..operators import validation
+
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 5 - 200).alias("mass_g"), (F.col("l_discount") * 200).alias("ph"))
+    return li.select("l_orderkey", "l_linenumber", F.size(R.issues(validation.range_rules(["mass_g", "ph"]))).alias("n_issues"))
+

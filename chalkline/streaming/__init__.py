@@ -1 +1 @@
-
+"""The stateful operators on streams."""
