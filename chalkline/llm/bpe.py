@@ -30,11 +30,13 @@ from .units import core_and_marks, unit_text, units
 #: Slots of the literal rank table, and the rank of what is no token.
 SLOTS, NONE = 1 << 16, 1 << 30
 DONE = NONE << 32
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Distinct words that a task remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Units of texts whose words it remembers.
+REMEMBERED_UNITS = 80_000
 #: Documents whose words are encoded first, and most of these words.
-SAMPLE_DOCUMENTS, SAMPLE_WORDS = 20_000, 600_000
+SAMPLE_DOCUMENTS, SAMPLE_WORDS = 40_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,61 +104,64 @@ def encode_words(words: Column, table: Column) -> Column:
 class Words:
     """Numbers for distinct words; those of the sample have theirs beforehand."""
 
-    def __init__(self, pattern: str, known: dict[bytes, int]):
+    def __init__(self, pattern: str, known: dict[str, int]):
         self.find, self.known = regex.compile(pattern).findall, known
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[str, int] = {}
         self.units: dict[str, bytes] = {}
         self.new: list[bytes] = []
 
-    def _number(self, word: str) -> int:
-        w = word.encode()
-        i = self.known.get(w)
-        if i is None and (i := self.numbers.get(w)) is None:
-            i = self.numbers[w] = len(self.known) + len(self.numbers)
-            self.new.append(w)
-        return i
+    def _number(self, word: str) -> bytes:
+        i = self.known.get(word)
+        if i is None and (i := self.numbers.get(word)) is None:
+            i = self.numbers[word] = len(self.known) + len(self.numbers)
+            self.new.append(word.encode())
+        return i.to_bytes(4, "little")
 
     def _unit(self, key: str) -> bytes:
-        text = unit_text(key)
-        core, marks = core_and_marks(text)
-        # a blank and letters, and marks after them, are one word each
-        words = [core, marks] if core[0] == " " and core[1:].isalpha() else self.find(text)
-        return np.array([self._number(w) for w in words if w], "<i4").tobytes()
+        # a blank and letters are one word, and so are marks after them
+        core, marks = core_and_marks(key)
+        if core.isalpha():
+            return self._number(" " + core) + (self._number(marks) if marks else b"")
+        return b"".join(map(self._number, self.find(unit_text(key))))
 
     def of(self, text: str) -> bytes:
         """The numbers of a text's words."""
-        keys = units(text)
+        keys, own = units(text), self.units
         try:
-            return b"".join(map(self.units.__getitem__, keys))
+            return b"".join(map(own.__getitem__, keys))
         except KeyError:
+            if len(own) > REMEMBERED_UNITS:
+                own.clear()
             for k in keys:
-                if k not in self.units:
-                    self.units[k] = self._unit(k)
-            return b"".join(map(self.units.__getitem__, keys))
+                if k not in own:
+                    own[k] = self._unit(k)
+            return b"".join(map(own.__getitem__, keys))
 
 
-_seeds: dict[str, tuple] = {}
+_seeds: dict[str, dict[str, int]] = {}
 
 
-def _seed(uri: str) -> tuple[dict[bytes, int], list[bytes]]:
-    """(word -> number, ids of each as bytes), read once by each worker process."""
+def _seed_numbers(uri: str) -> dict[str, int]:
+    """Word -> number, read once by each worker process."""
     if uri not in _seeds:
         _seeds.clear()
         x = np.load(io.BytesIO(read_bytes(uri)))
-        words, ids = x["words"].tobytes(), x["ids"].tobytes()
-        cuts, at = x["word_ends"].tolist(), 4 * x["id_ends"]
-        starts = [0, *cuts[:-1]]
-        _seeds[uri] = ({words[a:b]: i for i, (a, b) in enumerate(zip(starts, cuts, strict=True))}, ids, at)
+        _seeds[uri] = {w.decode(): i for i, w in enumerate(_parts(x["words"].tobytes(), x["word_ends"]))}
     return _seeds[uri]
 
 
 def _seed_ids(uri: str) -> list[bytes]:
-    _, ids, ends = _seed(uri)
-    ends = ends.tolist()
-    return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    """The ids of each word of the sample, by its number."""
+    x = np.load(io.BytesIO(read_bytes(uri)))
+    return _parts(x["ids"].tobytes(), 4 * x["id_ends"])
+
+
+def _parts(data: bytes, ends: np.ndarray) -> list[bytes]:
+    stops = [0, *ends.tolist()]
+    return [data[a:z] for a, z in zip(stops, stops[1:], strict=False)]
 
 
 def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame:
@@ -165,7 +170,7 @@ def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame
     schema = f"keys array<{ids_kind.simpleString()}>, ends binary, numbers binary, words array<binary>, anew boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, anew, keys, held, size = Words(pattern, _seed(seed)[0] if seed else {}), True, [], [], 0
+        own, anew, keys, held, size = Words(pattern, _seed_numbers(seed) if seed else {}), True, [], [], 0
 
         def block():
             ends = np.cumsum([len(x) // 4 for x in held], dtype=np.int64)
@@ -192,7 +197,7 @@ def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame
 
 
 def sample_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> str | None:
-    """Encode the words of about SAMPLE_DOCUMENTS texts by hash, SAMPLE_WORDS or so at most; the place of the result in the shared folder.
+    """Encode the words of about SAMPLE_DOCUMENTS texts by hash, SAMPLE_WORDS at most; the place of the result in the shared folder.
 
     The result saves repeated work only. It is bounded, so every task may read it.
     """
@@ -212,9 +217,16 @@ def sample_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> str
                     own.reset()
         yield pa.RecordBatch.from_arrays([pa.array(own.new, pa.binary())], names=["word"])
 
-    words = written(chosen.mapInArrow(distinct, "word binary").distinct(), "distinct-words")
-    bound = int((1 << 30) * min(1.0, SAMPLE_WORDS / max(1, words.count())))
-    words = words.where(F.pmod(F.xxhash64(F.base64("word")), share) < bound)
+    # words that more tasks meet come first
+    words = chosen.mapInArrow(distinct, "word binary").groupBy("word").agg(F.count("*").alias("met"))
+    words = written(words, "distinct-words")
+    least, total = 1, 0
+    for row in words.groupBy("met").agg(F.count("*").alias("n")).orderBy(F.desc("met")).collect():
+        if total + row["n"] > SAMPLE_WORDS:
+            least = row["met"] + 1
+            break
+        total += row["n"]
+    words = words.where(F.col("met") >= least)
     found = words.select("word", encode_words(F.array("word"), rank_table(ranks))[0].alias("ids")).toArrow()
     if not found.num_rows:
         return None
@@ -247,29 +259,21 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_
         for token, r in ranks.items():
             pieces[r] = token
         first = _seed_ids(seed) if seed else []
-        first_texts: dict[int, bytes] = {}
-        ids_of, text_of = list(first), {}
+        ids_of = list(first)
         for b in batches:
             for row in range(b.num_rows):
                 keys, ends, numbers, words, anew = (c[row] for c in b.columns)
                 if anew.as_py():
-                    ids_of, text_of = list(first), dict(first_texts)
-                flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes() if len(words) else b""
-                stops = [0, *(4 * np.cumsum(words.values.value_lengths().to_numpy())).tolist()] if len(words) else [0]
-                ids_of += [flat[a:z] for a, z in zip(stops, stops[1:], strict=False)]
+                    ids_of = list(first)
+                if len(words):
+                    flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                    ids_of += _parts(flat, 4 * np.cumsum(words.values.value_lengths().to_numpy()))
                 own = np.frombuffer(numbers.as_buffer(), "<i4").tolist()
-                for i in set(own) - text_of.keys():
-                    text_of[i] = b"".join(map(pieces.__getitem__, np.frombuffer(ids_of[i], "<u4").tolist()))
                 stops = [0, *np.frombuffer(ends.as_buffer(), np.int64).tolist()]
-                spans = list(zip(stops, stops[1:], strict=False))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.as_py(), arrow_kind),
-                        pa.array([b"".join(map(ids_of.__getitem__, own[a:z])) for a, z in spans], pa.binary()),
-                        pa.array([b"".join(map(text_of.__getitem__, own[a:z])) for a, z in spans], pa.binary()),
-                    ],
-                    names=[id_column, "ids", "decoded"],
-                )
+                ids = [b"".join(map(ids_of.__getitem__, own[a:z])) for a, z in zip(stops, stops[1:], strict=False)]
+                decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                columns = [pa.array(keys.as_py(), arrow_kind), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "ids", "decoded"])
 
     return blocks.mapInArrow(run, f"{id_column} {kind.simpleString()}, ids binary, decoded binary")
 
