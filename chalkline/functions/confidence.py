@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .text import contains_any, distinct_hits, strings
+from .text import bind, contains_any, distinct_hits, strings
 
 HIGH, MEDIUM = 0.70, 0.45
 
@@ -23,7 +23,8 @@ def plausible_formulas(text: Column) -> Column:
     bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)\((?:aq|s|l|g)\)", ""), r"\^?[0-9]*[+-]$", "")
     symbols = lambda t: F.regexp_extract_all(bare(t), F.lit("[A-Z][a-z]?"), F.lit(0))
     known = strings(L.KNOWN_ELEMENTS)
-    return F.filter(F.regexp_extract_all(text, F.lit(FORMULA), F.lit(0)), lambda t: (F.size(symbols(t)) > 0) & F.forall(symbols(t), lambda s: F.array_contains(known, s)))
+    tokens = F.regexp_extract_all(text, F.lit(FORMULA), F.lit(0))
+    return F.filter(tokens, lambda t: bind(symbols(t), lambda own: (F.size(own) > 0) & F.forall(own, lambda s: F.array_contains(known, s))))
 
 
 def malformed(text: Column) -> Column:
@@ -40,7 +41,7 @@ def signals(text: Column, source: Column) -> dict[str, Column]:
     """Each signal and what it adds to the base of 0.5."""
     low, n = F.lower(text), F.length(text)
     garbage = sum((text.rlike("(?d)" + p).cast("int") for p in GARBAGE), F.lit(0))
-    markers = F.size(F.filter(strings(L.STRUCTURE_MARKERS), lambda m: F.contains(F.upper(text), m)))
+    markers = distinct_hits(F.upper(text), L.STRUCTURE_MARKERS)
     words = F.greatest(distinct_hits(low, L.MALAY_CHEMISTRY), distinct_hits(low, L.ENGLISH_CHEMISTRY))
     formulas, measures = F.size(plausible_formulas(text)), F.regexp_count(text, F.lit(MEASURE))
     return {
