@@ -27,7 +27,7 @@ from .shared import shared_folder, written
 from .units import LITERAL, MARKS, unit_text, units
 
 END_ID = 2
-#: Encodings of units that one Python worker remembers; beyond, it starts anew.
+#: Encodings of units that one Python worker remembers; beyond, it keeps those in its present texts.
 REMEMBERED = 1_000_000
 BUCKET = 2
 MANIFEST = "shard int, payload string, index string, n_docs bigint, n_tokens bigint, first string, last string"
@@ -50,16 +50,13 @@ class UnitEncoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         keys = [units(t) for t in texts]
-        found = [list(map(self.known.get, ks)) for ks in keys]
-        gaps = [i for i, own in enumerate(found) if None in own]
-        self._learn({k for i in gaps for k, v in zip(keys[i], found[i], strict=True) if v is None})
-        known = self.known
-        for i in gaps:
-            found[i] = [v or known[k] for k, v in zip(keys[i], found[i], strict=True)]
-        return [b"".join(own) + self.end for own in found]
+        own = set().union(*keys)
+        if len(self.known) > REMEMBERED:
+            self.known = {k: self.known[k] for k in own if k in self.known}
+        self._learn(own.difference(self.known))
+        known = self.known.__getitem__
+        return [b"".join(map(known, own)) + self.end for own in keys]
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,7 +86,10 @@ class UnitEncoder:
                 continue
             marks = LITERAL + k[len(core) :]
             parted.append((k, core, marks))
-            missing.update(x for x in (core, marks) if x not in known)
+            if core not in known:
+                missing.add(core)
+            if marks not in known:
+                missing.add(marks)
         plain = [k for k in missing if k[0] not in "\0\n" and "\n" not in k]
         odd = [k for k in missing if k[0] in "\0\n" or "\n" in k]
         known.update(zip(plain, self._encode_lines([" " + k for k in plain]), strict=True))
