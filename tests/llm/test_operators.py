@@ -104,6 +104,18 @@ def test_base_spans(spark, kinds, texts, run):
     assert own == expected
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1 or 127.0.0.1", "0.0.0.0", "00.1.2.3 000.00.0.255", "256.0.0.1 0.0.0.256 0300.0.0.0", "0" * 2000 + ".0.0." + "0" * 2000, "0" * 2000 + ".0.0.999", *noise(3, ["0", "00", ".", "10", "255", "256", " "])]
+    docs = documents(spark, texts)
+    got = collections.Counter((r["doc_id"], r["base_sha256"], *(r[f"n_{k}"] for k, _, _ in PERSONAL)) for r in pii.report(pii.find(docs, pii.fit(docs))).collect())
+    expected = collections.Counter()
+    for row in docs.collect():
+        sha, counts = spans_of(row.text, PERSONAL)
+        expected[(row.doc_id, sha, *counts)] += 1
+    assert got == expected
+    assert sum(n * k[3] for k, n in expected.items()) > 5
+
+
 def test_ledger_scans_only_what_is_new(spark):
     old, new = secrets.RULES[:2], secrets.RULES
     path = shared.shared_folder(spark, "ledger")
