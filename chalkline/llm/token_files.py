@@ -41,7 +41,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes as tokens of their own, wherever they stand in a text.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
@@ -50,6 +51,17 @@ class UnitEncoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts that hold the string of an added token are encoded whole; units of the others hold none."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self._encode_units(texts)
+        held = set(whole)
+        out = dict(zip((i for i in range(len(texts)) if i not in held), self._encode_units([t for i, t in enumerate(texts) if i not in held]), strict=True))
+        for i in whole:
+            out[i] = self._encode_each([texts[i]])[0] + self.end
+        return [out[i] for i in range(len(texts))]
+
+    def _encode_units(self, texts: list[str]) -> list[bytes]:
         keys = [units(t) for t in texts]
         own = set().union(*keys)
         if len(self.known) > REMEMBERED:

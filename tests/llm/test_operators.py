@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from chalkline.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, shared, simhash, token_files, url_filter, warc
 
@@ -233,6 +234,21 @@ def test_token_files(spark):
     assert token_files.tokenized(empty(spark), path).count() == 0
 
 
+def test_token_files_with_strings_of_added_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    added = "<|endoftext|>"
+    texts = [f"a {added} b", added, f"{added}{added} \n{added}.", f"word{added}word  {added}\n", "<|endoftext |> |>", f"<|{added}|>", "plain text |> here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = token_files.write_tokens(docs, shared.shared_folder(spark, "tokens"), path)
+    expected = [own.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert expected[0] == [64, 220, 50256, 275, 2]
+    assert [token_files.document_tokens(manifest, i, path) for i in range(len(texts))] == expected
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(spark, manifest, path).collect())
+    starts = np.cumsum([0] + [len(e) for e in expected]).tolist()
+    assert got == [(s, len(e), zlib.crc32(np.array(e, "<u4").tobytes())) for s, e in zip(starts, expected)]
+
+
 def test_minimal_perfect_hash():
     keys = [b"%d" % i for i in range(5000)]
     _, slots, _ = token_files.build_mph(keys)
