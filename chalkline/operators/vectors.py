@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that one pass over the index scores; larger query sets are searched in slices.
 QUERY_SLICE = 4096
+#: Scores that inner_products holds at once.
+BLOCK_PAIRS = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -114,12 +116,49 @@ def sufficient(hits: DataFrame, *, query_id: str = "query_id", min_score: float
     return hits.groupBy(query_id).agg(F.count("*").alias("n_hits"), enough.alias("sufficient"))
 
 
-def pairwise(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Inner products of all pairs of a stated set of vectors, searched in slices against that set."""
+def inner_products(queries: DataFrame, index: DataFrame, *, query_id: str = "query_id", vector: str = "embedding", slice_size: int = QUERY_SLICE) -> DataFrame:
+    """Every query with every row of index: query_id, the columns of index without the vector, and score.
+
+    One pass over the index for each slice of queries, without a shuffle. Rows
+    without a vector, or of another length, have no score.
+    """
+    kept = [c for c in index.columns if c != vector]
+    id_field = queries.schema[query_id]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [id_field] + [index.schema[c] for c in kept]) + ", score double"
+
+    def scorer(ids: list, matrix: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(ids, id_type)
+            step = max(1, BLOCK_PAIRS // len(ids))
+            for b in batches:
+                vectors = b.column(vector)
+                sizes = np.array([-1 if n is None else n for n in vectors.value_lengths().to_pylist()])
+                usable = np.flatnonzero(sizes == matrix.shape[1])
+                for at in range(0, len(usable), step):
+                    own = usable[at : at + step]
+                    rows = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                    out = b.select(kept).take(pa.array(np.repeat(own, len(ids))))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.tile(np.arange(len(ids)), len(own)))), *out.columns, pa.array((rows @ matrix.T).ravel())], names=[query_id, *kept, "score"])
+
+        return run
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(id_field.dataType)
+    found = index.sparkSession.createDataFrame([], schema)
+    for ids, matrix in _slices(queries, query_id, vector, slice_size):
+        found = found.unionByName(index.mapInArrow(scorer(ids, matrix), schema))
+    return found
+
+
+def pairwise(vectors: DataFrame, index: DataFrame | None = None, *, key: str = "vec_id", vector: str = "embedding", slice_size: int = QUERY_SLICE) -> DataFrame:
+    """Inner products (a, b, score) of a stated set of vectors with all of index, or among themselves; a pair of two of the set comes once, the lesser key first."""
+    index = vectors if index is None else index
     left = vectors.select(F.col(key).alias("query_id"), vector)
-    right = vectors.select(F.col(key).alias("pos"), vector)
-    n = vectors.count()
-    return top_k(left, right, max(n, 1)).where("query_id < pos").select(F.col("query_id").alias("a"), F.col("pos").alias("b"), "score")
+    stated = vectors.select(F.col(key).alias("pos")).distinct().withColumn("__stated", F.lit(True))
+    right = index.select(F.col(key).alias("pos"), vector).join(stated, "pos", "left")
+    pairs = inner_products(left, right, vector=vector, slice_size=slice_size).where("query_id < pos OR (query_id > pos AND __stated IS NULL)")
+    return pairs.select(F.col("query_id").alias("a"), F.col("pos").alias("b"), "score")
 
 
 def index_counts(index: DataFrame, by: str = "index_name") -> DataFrame:
