@@ -70,6 +70,8 @@ class SecretLedger:
     """A table of what was scanned, in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
+        if len({r.kind for r in rules}) < len(rules):
+            raise ValueError("two rules of one kind")  # a ledger row's rules say by which version each kind was found
         self.spark, self.path, self.rules = spark, path, rules
 
     def rows(self) -> DataFrame:
@@ -103,11 +105,13 @@ class SecretLedger:
     def findings(self, versions: DataFrame, text: str = "text") -> DataFrame:
         """versions with `spans` (start, ord, end, kind, match by start and rule order): one row for each version.
 
-        Null contents are empty; repeated paths and contents all get their
-        spans. A column of versions called spans gives way.
+        Only what present rule versions found counts. Null contents are empty;
+        repeated paths and contents all get their spans. A column of versions
+        called spans gives way.
         """
-        kinds = [r.kind for r in self.rules]
-        found = self.rows().where(F.size("spans") > 0).select("blob", F.explode("spans").alias("span")).where(F.col("span.kind").isin(kinds))
+        present = F.array_intersect("rules", F.array(*(F.lit(r.tag) for r in self.rules)))
+        kinds = F.transform(present, lambda t: F.regexp_replace(t, "@[0-9]+$", ""))
+        found = self.rows().where(F.size("spans") > 0).select(kinds.alias("kinds"), "blob", F.explode("spans").alias("span")).where(F.expr("array_contains(kinds, span.kind)"))
         found = found.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("__spans")).withColumnRenamed("blob", "__blob")
         # a content that most versions share meets its findings in SALTS parts
         found = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

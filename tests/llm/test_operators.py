@@ -135,6 +135,21 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r.doc_id: r.text for r in secrets.redact(second.findings(more)).collect()} == {1: "<secret>", 2: "<secret>", 3: "<secret>", 4: "<secret>"}
 
 
+def test_findings_of_present_rule_versions_only(spark):
+    path = shared.shared_folder(spark, "ledger")
+    docs = spark.createDataFrame([(1, "deadbeefdeadbeef token=abcdefghijklmnop"), (2, "deadbeefdeadbeefdeadbeef")], "doc_id long, text string")
+    narrow = secrets.Rule("hex", 2, "[0-9a-f]{20,}", lambda m: F.lit(True))
+    seen = []
+    for rules in (secrets.RULES, (*secrets.RULES[:2], narrow), secrets.RULES):
+        ledger = secrets.SecretLedger(spark, path, rules)
+        ledger.scan(docs)
+        seen.append({r.doc_id: [s.kind for s in r.spans] for r in ledger.findings(docs).collect()})
+        clean = {r.doc_id: r.text for r in secrets.redact(ledger.findings(docs)).collect()}
+        assert clean == {1: "deadbeefdeadbeef <secret>" if narrow in rules else "<secret> <secret>", 2: "<secret>"}
+    assert seen == [{1: ["hex", "assign"], 2: ["hex"]}, {1: ["assign"], 2: ["hex"]}, {1: ["hex", "assign"], 2: ["hex"]}]
+    assert ledger.rows().count() == 4
+
+
 def test_empty_tables_of_scans(spark):
     ledger = secrets.SecretLedger(spark, shared.shared_folder(spark, "ledger"))
     ledger.scan(empty(spark))
