@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .text import bind, contains_any, distinct_hits, strings
+from .text import contains_any, distinct_hits
 
 HIGH, MEDIUM = 0.70, 0.45
 
@@ -15,16 +15,20 @@ GARBAGE = (r"(.)\1{5,}", r"[^\x00-\x7F]{6,}", r"[|\\]{4,}", r"\b[A-Z]{10,}\b", r
 #: What a formula looks like, and a number with its unit.
 FORMULA = r"\b[A-Z][a-z]?[0-9]*(?:\([A-Za-z0-9]+\)[0-9]*)*[A-Za-z0-9]*\b"
 MEASURE = r"(?i)\b[0-9]+(?:\.[0-9]+)?\s*(?:g|mol|dm3|cm3|kJ|J|°C|M|V|%|dm|cm|L|l)\b"
+#: What only damaged text has.
 DAMAGED = (r"\b[A-Z][0-9][A-Z](?![A-Za-z0-9_])", r"\b[0-9][A-Z][0-9]\b", r"\b[a-z]{4,}\b")
 
 
+#: A symbol that is no known element.
+_one, _two = (sorted(e for e in L.KNOWN_ELEMENTS if len(e) == n) for n in (1, 2))
+UNKNOWN = rf"(?!(?:{'|'.join(_two)}))[A-Z][a-z]|(?![{''.join(_one)}])[A-Z](?![a-z])"
+
+
 def plausible_formulas(text: Column) -> Column:
     """Tokens that consist of known elements."""
-    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)\((?:aq|s|l|g)\)", ""), r"\^?[0-9]*[+-]$", "")
-    symbols = lambda t: F.regexp_extract_all(bare(t), F.lit("[A-Z][a-z]?"), F.lit(0))
-    known = strings(L.KNOWN_ELEMENTS)
     tokens = F.regexp_extract_all(text, F.lit(FORMULA), F.lit(0))
-    return F.filter(tokens, lambda t: bind(symbols(t), lambda own: (F.size(own) > 0) & F.forall(own, lambda s: F.array_contains(known, s))))
+    bare = lambda t: F.when(F.contains(t, F.lit("(")), F.regexp_replace(t, r"(?i)\((?:aq|s|l|g)\)", "")).otherwise(t)
+    return F.filter(tokens, lambda t: ~bare(t).rlike(UNKNOWN))
 
 
 def malformed(text: Column) -> Column:
@@ -38,7 +42,7 @@ def malformed(text: Column) -> Column:
 
 
 def signals(text: Column, source: Column) -> dict[str, Column]:
-    """Each signal and what it adds to the base of 0.5."""
+    """Each signal and what it adds to the base of 0.5. The steps and what each adds."""
     low, n = F.lower(text), F.length(text)
     garbage = sum((text.rlike("(?d)" + p).cast("int") for p in GARBAGE), F.lit(0))
     markers = distinct_hits(F.upper(text), L.STRUCTURE_MARKERS)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,19 +20,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once: inside a lambda an expression would be evaluated for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """Whether text has one of the words as a substring."""
-    return bind(text, lambda t: F.exists(strings(words), lambda w: F.contains(t, w)))
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words), F.lit(False))
 
 
 def distinct_hits(text: Column, words: Sequence[str]) -> Column:
     """How many of the words text contains."""
-    return bind(text, lambda t: F.size(F.filter(strings(words), lambda w: F.contains(t, w))))
+    return sum((F.coalesce(F.contains(text, F.lit(w)).cast("int"), F.lit(0)) for w in words), F.lit(0))
 
 
 def fold_newlines(text: Column) -> Column:
