@@ -53,8 +53,8 @@ PERSONAL_WORDS = (
 )
 #: language -> head, name of the user, name of the other side, foot
 HISTORY_FRAMES = {
-    "EN": ("\n\nPREVIOUS CONVERSATION:", "Student", "Cikgu AI", "(Use above history if the new question refers to previous conversation)"),
-    "BM": ("\n\nSEJARAH PERBUALAN SEBELUM INI:", "Pelajar", "Cikgu AI", "(Gunakan sejarah di atas jika soalan baru berkaitan dengan perbualan sebelum ini)"),
+    "EN": ("\n\nPREVIOUS CONVERSATION:", "Student", "Assistant", "(Use above history if the new question refers to previous conversation)"),
+    "BM": ("\n\nSEJARAH PERBUALAN SEBELUM INI:", "Pelajar", "Assistant", "(Gunakan sejarah di atas jika soalan baru berkaitan dengan perbualan sebelum ini)"),
 }
 
 # ---- Fixed values of index routing by content type and by task

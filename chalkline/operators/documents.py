@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_newlines, language_by_markers, strings, strip
 from ..sources.markdown import stem
-from .lookups import english_keywords, file_topic
+from .lookups import described, english_keywords, file_topic
 
 # ---- Fixed values of worked examples
 
@@ -232,6 +232,29 @@ def diagram_stem(path: Column) -> Column:
     return F.regexp_replace(stem(F.regexp_extract(F.lower(path), r"([^/]*)$", 1)), "^(?:rajah_|diagram_)", "")
 
 
+def layered_descriptions(references: DataFrame, library: DataFrame, recognised: DataFrame | None = None, least: int = 20) -> DataFrame:
+    """references (path, ...) with description: of the library, else text recognised in the image if it is longer than `least`, else the stem in words.
+
+    library: (ord, key, description); recognised: (path, text), one row for each path.
+    """
+    out = described(references.withColumn("stem", diagram_stem(F.col("path"))), library)
+    out = out.join(recognised.select("path", F.col("text").alias("__read")), "path", "left") if recognised is not None else out.withColumn("__read", F.lit(None).cast("string"))
+    read = F.when(F.length("__read") > least, F.concat(F.lit("[Teks OCR dari rajah]: "), F.col("__read")))
+    words = F.concat(F.lit("[Rajah: "), F.replace("stem", F.lit("_"), F.lit(" ")), F.lit("]"))
+    return out.withColumn("description", F.coalesce("description", read, words)).drop("__read")
+
+
+def diagram_chunks(diagrams: DataFrame) -> DataFrame:
+    """diagrams (path, alt, source_file, stem, description) as chunks; what a diagram lacks is null in build_corpus."""
+    alt, none = F.col("alt"), F.expr("cast(array() as array<string>)")
+    head = F.concat(F.lit("Rajah: "), alt)
+    return diagrams.select(
+        F.concat(F.lit("diagram__"), "stem").alias("chunk_id"), "source_file", F.lit("theory").alias("content_type"), head.alias("topic"), alt.alias("subtopic"), F.concat(head, F.lit("\n\n"), "description").alias("content"),
+        F.concat(F.lit("Rajah kimia SPM: "), alt, F.lit("\n"), "description").alias("embed_text"), F.array(alt, F.replace("stem", F.lit("_"), F.lit(" "))).alias("keywords_bm"), none.alias("keywords_en"), none.alias("formulas"), none.alias("equations"),
+        F.array(F.struct(alt, "path")).alias("diagrams"), F.lit(False).alias("has_worked_example"), F.lit(True).alias("has_diagram"), F.lit(False).alias("has_table"), F.lit("BM").alias("language"),
+    )
+
+
 def describe_in_place(content: Column, described: Column) -> Column:
     """content with a description after each reference; described: array of struct(path, alt, description)."""
 

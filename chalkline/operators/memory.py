@@ -68,6 +68,13 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("n"), F.sum(F.coalesce("hit_count", F.lit(0))).alias("hits"))
 
 
+def overview(sessions: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: sessions, cached questions and their hits."""
+    own = sessions.select(F.lit(1).alias("sessions"), F.lit(0).alias("cached"), F.lit(0).cast("bigint").alias("hits"))
+    held = cache.select(F.lit(0).alias("sessions"), F.lit(1).alias("cached"), F.coalesce(F.col("hit_count").cast("bigint"), F.lit(0)).alias("hits"))
+    return own.unionByName(held).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sessions", "cached", "hits")))
+
+
 def top_hits(cache: DataFrame, k: int = 5, preview: int = 60) -> DataFrame:
     """The k questions with most hits, missing counts as 0, cut to a preview; ties by question."""
     hits = F.coalesce("hit_count", F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formulas as G
 from ..functions.text import NUMBER
 from .rules import Rule, issues
 
@@ -23,6 +24,7 @@ MOST_ATOMS = {
     "H": 22, "C": 12, "N": 10, "O": 12, "S": 4, "Cl": 6, "F": 6, "Br": 3, "I": 3, "Na": 3, "K": 4, "Ca": 3, "Mg": 3, "Al": 4, "Fe": 4, "Cu": 4, "Zn": 4, "Mn": 2, "Cr": 2, "Pb": 2, "Ag": 1, "Ba": 1,
 }
 LARGE_FORMULAS = ("K4Fe(CN)6", "K3Fe(CN)6", "K2Fe(CN)6", "Fe(CN)6", "C12H22O11", "C6H12O6", "C2H5OH", "CH3COOH")
+#: Words that stand for a formula.
 PLACEHOLDERS = ("salt", "gas", "precipitate", "water", "acid", "base", "product", "mendapan", "garam", "asid", "bes", "larutan", "hasil")
 
 
@@ -127,9 +129,30 @@ def task_rules() -> list[Rule]:
     ]
 
 
+FORMULA_FIELDS = ("formula", "given_formula", "target_formula", "species", "oxidant", "reductant")
+
+
+def corrected_records(records: DataFrame) -> DataFrame:
+    """records with every misread formula, also those of the list, as it should be."""
+    out = records.withColumns({k: corrected_formula(F.col(k)) for k in FORMULA_FIELDS if k in records.columns})
+    return out.withColumn("formulas", F.transform("formulas", corrected_formula)) if "formulas" in records.columns else out
+
+
+def stated(rules: list[Rule], field: Column) -> list[Rule]:
+    """Rules that hold only where the field has a text."""
+    return [(severity, code, message, name, (field != "") & when) for severity, code, message, name, when in rules]
+
+
 def validated(records: DataFrame) -> DataFrame:
-    """records with issues: ranges of their fields, then checks of their task."""
-    return records.withColumn("issues", issues([*range_rules(records.columns), *task_rules()]))
+    """records with issues: formulas that they state, their equation, ranges of their fields, then checks of their task."""
+    own = [k for k in FORMULA_FIELDS if k in records.columns]
+    read = records.withColumns({f"__{k}": G.formula_counts(corrected_formula(F.col(k))) for k in own})
+    found = [r for k in own for r in stated(formula_rules(F.col(k), F.col(f"__{k}"), k), F.col(k))]
+    if "equation" in records.columns:
+        read = read.withColumn("__equation", G.equation_sides(F.col("equation")))
+        found += stated(equation_rules(F.col("equation"), F.col("__equation")), F.col("equation"))
+    out = read.withColumn("issues", issues([*found, *range_rules(records.columns), *task_rules()]))
+    return out.drop("__equation", *(f"__{k}" for k in own))
 
 
 SIGNED = NUMBER.replace("([0-9]+", "([+-]?[0-9]+")

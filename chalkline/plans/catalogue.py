@@ -196,7 +196,7 @@ def q15_history_last_n(spark, sf_dir):
 
 
 @query(f"""WITH k AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations QUALIFY n <= 4)
-SELECT conv_id AS session_id, '{L.HISTORY_FRAMES["EN"][0]}' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'Student' ELSE 'Cikgu AI' END || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn)
+SELECT conv_id AS session_id, '{L.HISTORY_FRAMES["EN"][0]}' || chr(10) || string_agg(CASE WHEN role = 'user' THEN '{L.HISTORY_FRAMES["EN"][1]}' ELSE '{L.HISTORY_FRAMES["EN"][2]}' END || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn)
   || chr(10) || '{L.HISTORY_FRAMES["EN"][3]}' AS context FROM k GROUP BY conv_id""")
 def q16_history_context(spark, sf_dir):
     return memory.history_context(_messages(spark, sf_dir))

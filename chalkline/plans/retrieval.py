@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +69,23 @@ def retrieve(
     for c in (filters or {}).values():
         wanted = wanted & c
     rows = index.where(wanted) if filter_mode == "pre" else index
-    hits = vectors.top_k(asked.select("query_id", "embedding"), rows, k, by=["index_name"], threshold=threshold)
-    hits = hits.join(asked.select("query_id", "indexes"), "query_id").where(F.array_contains("indexes", F.col("index_name")))
-    hits = hits.where(wanted) if filter_mode == "post" else hits
-    order = F.array_position(F.array(*map(F.lit, INDEX_ORDER)), F.col("index_name"))
-    return vectors.merge_hits(hits.withColumn("index_ord", order), k)
+    found = []
+    # an index is one partition of the table, and only the questions that go to it search it
+    for order, name in enumerate([force_index] if force_index else INDEX_ORDER, 1):
+        own = asked.where(F.array_contains("indexes", name)).select("query_id", "embedding")
+        found.append(vectors.top_k(own, rows.where(F.col("index_name") == name), k, by=["index_name"], threshold=threshold).withColumn("index_ord", F.lit(order)))
+    hits = reduce(DataFrame.unionByName, found)
+    return vectors.merge_hits(hits.where(wanted) if filter_mode == "post" else hits, k)
+
+
+def retrieve_for_calculation(requests: DataFrame, index: DataFrame, embedder: Embedder, k: int = 3, **more) -> DataFrame:
+    """retrieve() from the calculations alone."""
+    return retrieve(requests, index, embedder, k=k, force_index="index_calculations", **more)
+
+
+def retrieve_for_theory(requests: DataFrame, index: DataFrame, embedder: Embedder, k: int = 5, **more) -> DataFrame:
+    """retrieve() from the theory alone."""
+    return retrieve(requests, index, embedder, k=k, force_index="index_theory", **more)
 
 
 def diagnose(requests: DataFrame, index: DataFrame, embedder: Embedder, k: int = 10, threshold: float = 0.3) -> DataFrame:
