@@ -2,9 +2,14 @@
 
 Tasks cut their texts into words of the tokenizer's pattern and hand on each
 distinct word once. Spark folds the merges over the bytes of these words, with
-the ranks as a literal in the plan; a word's ids then go wherever it stands.
-Decoding concatenates the byte strings of the ids. Nothing is shuffled. Words of
+a map of ranks as a literal in the plan; a word's ids then go wherever it stands.
+Decoding concatenates the byte strings of the ids, word by word. Nothing is shuffled. Words of
 a bounded sample are encoded first, so that tasks do not repeat common ones.
+
+A fold takes time with the square of a word's length, so a word over LONG_BYTES
+goes in overlapping windows. A list of tokens is the encoding of its bytes
+exactly if each two neighbours are that of theirs; so two windows with a token
+in common, at the same place, are joined there.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -27,9 +33,10 @@ from .files import read_bytes, write_bytes
 from .shared import shared_folder, written
 from .units import core_and_marks, unit_text, units
 
-#: Slots of the literal rank table, and the rank of what is no token.
+#: Slots of the literal rank map, and the rank of what is no token.
 SLOTS, NONE = 1 << 16, 1 << 30
-DONE = NONE << 32
+#: Codes that no character may have.
+SURROGATES, SURROGATES_END = 0xD800, 0xE000
 BLOCK_CHARS = 1 << 19
 #: Distinct words that a task remembers; beyond, it starts anew.
 REMEMBERED = 150_000
@@ -37,6 +44,10 @@ REMEMBERED = 150_000
 REMEMBERED_UNITS = 80_000
 #: Documents whose words are encoded first, and most of these words.
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 40_000, 200_000
+#: Bytes of a word that is folded whole; of longer ones, the step between windows and a window's bytes.
+LONG_BYTES, STEP_BYTES, WINDOW_BYTES = 160, 96, 128
+#: In the numbers of a text, before the count of a long word's windows and their numbers.
+WINDOWS = 0xFFFFFFFF
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,13 +58,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 # ---- the fold
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, found by hash. Each byte is a character of the keys."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+def char_of(rank: int) -> str:
+    """A token as one character; characters sort as their ranks do."""
+    return chr(rank + 1 if rank + 1 < SURROGATES else rank + 1 + SURROGATES_END - SURROGATES)
+
+
+def rank_of(char: Column) -> Column:
+    code = F.ascii(char)
+    return F.when(code < SURROGATES, code - 1).otherwise(code - 1 - (SURROGATES_END - SURROGATES))
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """Two tokens to the token that joins them, as one literal: an array of small maps, found by hash."""
+    slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
     for token, r in ranks.items():
-        key = token.decode("latin-1")
-        slots[xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS][key] = r
-    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False, separators=(",", ":"))), "array<map<string,int>>")
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                key = char_of(left) + char_of(right)
+                slots[xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS][key] = char_of(r)
+    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
 
 
 def let(value: Column, body) -> Column:
@@ -61,41 +85,52 @@ def let(value: Column, body) -> Column:
     return F.aggregate(F.expr("cast(array() as array<int>)"), value, lambda a, _: a, body)
 
 
-def encode_words(words: Column, table: Column) -> Column:
-    """array<binary> -> array<array<int>>: the ids of each word, as if it stood alone."""
-    empty = F.expr("cast(array() as array<int>)")
+def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<binary> -> array<array<int>>: the ids of each word, as if it stood alone.
+
+    A word in the making is a string of its tokens between two marks, beside the
+    string of what each two neighbours would become.
+    """
+    most = max(ranks.values(), default=0)
+    side, none = char_of(most + 1), char_of(most + 2)
+    latin = "".join(map(chr, range(256)))
+    single = "".join(char_of(ranks[bytes([i])]) for i in range(256))
+    #: Tokens that no merges lead to; a word that is one of them is that token all the same.
+    whole = {t.decode("latin-1"): r for t, r in ranks.items() if len(t) > 1 and merged(t, ranks) != [r]}
 
-    def all_words(t: Column) -> Column:
-        def rank(key: Column) -> Column:
-            return F.coalesce(F.element_at(t[F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1)).cast("int")], key), F.lit(NONE))
+    def all_words(table: Column) -> Column:
+        def become(pair: Column) -> Column:
+            return F.coalesce(F.try_element_at(table[F.xxhash64(pair).bitwiseAND(F.lit(SLOTS - 1)).cast("int")], pair), F.lit(none))
 
         def merge(acc: Column, _) -> Column:
-            """Joins the leftmost pair of the least rank; only the ranks beside it change."""
-            parts, ranks = acc["parts"], acc["ranks"]
-
-            def at(i: Column) -> Column:
-                n, both = F.size(parts), F.concat(parts[i - 1], parts[i])
-                left = F.when(i > 1, F.array(rank(F.concat(parts[i - 2], both)))).otherwise(empty)
-                right = F.when(i < n - 1, F.array(rank(F.concat(both, parts[i + 1])))).otherwise(empty)
-                return F.struct(
-                    F.flatten(F.array(F.slice(parts, 1, i - 1), F.array(both), F.slice(parts, i + 2, n))).alias("parts"),
-                    F.flatten(F.array(F.slice(ranks, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, n))).alias("ranks"),
-                )
-
-            least = F.array_min(F.transform(ranks, lambda r, i: F.shiftleft(r.cast("bigint"), 32) + i))
-            return let(F.coalesce(least, F.lit(DONE)), lambda m: F.when(m >= DONE, acc).otherwise(let(m.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") + 1, at)))
-
-        def fold(parts: Column) -> Column:
-            ranks = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(parts[i - 1], parts[i])))
-            start = F.struct(parts.alias("parts"), ranks.alias("ranks"))
-            return F.aggregate(F.sequence(F.lit(2), F.size(parts)), start, merge, lambda a: F.transform(a["parts"], rank))
+            """Joins the leftmost pair of the least rank; only what is beside it changes."""
+
+            def at(m: Column, i: Column) -> Column:
+                def beside(tokens: Column) -> Column:
+                    new = F.concat(become(F.substring(tokens, i - 1, F.lit(2))), become(F.substring(tokens, i, F.lit(2))))
+                    return F.struct(tokens.alias("tokens"), F.overlay(acc["next"], new, i - 1, F.lit(3)).alias("next"))
+
+                return let(F.overlay(acc["tokens"], m, i, F.lit(2)), beside)
+
+            least = F.array_min(F.split(acc["next"], ""))
+            return let(least, lambda m: F.when(m < none, let(F.position(m, acc["next"]), lambda i: at(m, i))).otherwise(acc))
+
+        def fold(tokens: Column) -> Column:
+            n = F.length(tokens)
+            following = F.array_join(F.transform(F.sequence(F.lit(1), n - 1), lambda i: become(F.substring(tokens, i, F.lit(2)))), "")
+            start = F.struct(tokens.alias("tokens"), following.alias("next"))
+            return F.aggregate(F.sequence(F.lit(3), n), start, merge, lambda a: F.transform(F.split(F.replace(a["tokens"], F.lit(side)), ""), rank_of))
 
         def word(w: Column) -> Column:
-            return let(F.decode(w, "ISO-8859-1"), lambda s: let(rank(s), lambda r: F.when(r < NONE, F.array(r)).otherwise(let(F.split(s, ""), fold))))
+            plain = F.decode(w, "ISO-8859-1")
+            folded = let(F.concat(F.lit(side), F.translate(plain, latin, single), F.lit(side)), fold)
+            for t, r in whole.items():
+                folded = F.when(plain == t, F.array(F.lit(r))).otherwise(folded)
+            return folded
 
         return F.transform(words, word)
 
-    return let(table, all_words)
+    return let(rank_map(ranks), all_words)
 
 
 # ---- words of texts
@@ -106,6 +141,8 @@ class Words:
 
     def __init__(self, pattern: str, known: dict[str, int]):
         self.find, self.known = regex.compile(pattern).findall, known
+        #: The cuts of units.py hold for this pattern only.
+        self.by_units = pattern == public_tokenizers.PATTERN
         self.reset()
 
     def reset(self) -> None:
@@ -114,10 +151,16 @@ class Words:
         self.new: list[bytes] = []
 
     def _number(self, word: str) -> bytes:
+        if len(word) > LONG_BYTES // 4 and len(data := word.encode()) > LONG_BYTES:
+            windows = [data[at : at + WINDOW_BYTES].decode(errors="surrogateescape") for at in range(0, len(data) - WINDOW_BYTES + STEP_BYTES, STEP_BYTES)]
+            return b"".join([WINDOWS.to_bytes(4, "little"), len(windows).to_bytes(4, "little"), *map(self._own_number, windows)])
+        return self._own_number(word)
+
+    def _own_number(self, word: str) -> bytes:
         i = self.known.get(word)
         if i is None and (i := self.numbers.get(word)) is None:
             i = self.numbers[word] = len(self.known) + len(self.numbers)
-            self.new.append(word.encode())
+            self.new.append(word.encode(errors="surrogateescape"))
         return i.to_bytes(4, "little")
 
     def _unit(self, key: str) -> bytes:
@@ -129,6 +172,8 @@ class Words:
 
     def of(self, text: str) -> bytes:
         """The numbers of a text's words."""
+        if not self.by_units:
+            return b"".join(map(self._number, self.find(text)))
         keys, own = units(text), self.units
         try:
             return b"".join(map(own.__getitem__, keys))
@@ -149,14 +194,26 @@ def _seed_numbers(uri: str) -> dict[str, int]:
     if uri not in _seeds:
         _seeds.clear()
         x = np.load(io.BytesIO(read_bytes(uri)))
-        _seeds[uri] = {w.decode(): i for i, w in enumerate(_parts(x["words"].tobytes(), x["word_ends"]))}
+        _seeds[uri] = {w.decode(errors="surrogateescape"): i for i, w in enumerate(_parts(x["words"].tobytes(), x["word_ends"]))}
     return _seeds[uri]
 
 
-def _seed_ids(uri: str) -> list[bytes]:
-    """The ids of each word of the sample, by its number."""
-    x = np.load(io.BytesIO(read_bytes(uri)))
-    return _parts(x["ids"].tobytes(), 4 * x["id_ends"])
+_seeds_encoded: dict[str, tuple[list[bytes], list[bytes]]] = {}
+
+
+def _seed_ids(uri: str, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The ids of each word of the sample and their bytes, by its number; read once by each worker process."""
+    if uri not in _seeds_encoded:
+        _seeds_encoded.clear()
+        x = np.load(io.BytesIO(read_bytes(uri)))
+        _seeds_encoded[uri] = _decoded(x["ids"].view("<u4"), x["id_ends"], pieces)
+    return _seeds_encoded[uri]
+
+
+def _decoded(ids: np.ndarray, ends: np.ndarray, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The ids of each word, and their pieces joined."""
+    own, stops = ids.tolist(), [0, *ends.tolist()]
+    return _parts(ids.tobytes(), 4 * ends), [b"".join(map(pieces.__getitem__, own[a:z])) for a, z in zip(stops, stops[1:], strict=False)]
 
 
 def _parts(data: bytes, ends: np.ndarray) -> list[bytes]:
@@ -164,6 +221,84 @@ def _parts(data: bytes, ends: np.ndarray) -> list[bytes]:
     return [data[a:z] for a, z in zip(stops, stops[1:], strict=False)]
 
 
+# ---- long words
+
+
+def merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold over a short run of bytes, for windows that have no token in common."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        r, i = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if r == NONE:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def _placed(ids: list[int], at: int, pieces: list[bytes]) -> list[tuple[int, int, int]]:
+    """(start, end, id) of tokens from place at on."""
+    out = []
+    for i in ids:
+        out.append((at, at + len(pieces[i]), i))
+        at += len(pieces[i])
+    return out
+
+
+def _joined(known: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> bool:
+    """Go on from a token that ends `known` and one that is in `more`, if there is one."""
+    own = {(s, e): j for j, (s, e, _) in enumerate(more)}
+    for i in range(len(known) - 1, -1, -1):
+        if known[i][0] < more[0][0]:
+            return False
+        if (j := own.get(known[i][:2])) is not None:
+            known[i + 1 :] = more[j + 1 :]
+            return True
+    return False
+
+
+def stitch(windows: list[list[int]], pieces: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word from those of its windows.
+
+    Windows without a common token are folded again as one, with twice the
+    bytes before them each time, the whole word in the end.
+    """
+    known = _placed(windows[0], 0, pieces)
+    for k, ids in enumerate(windows[1:], 1):
+        at, more = k * STEP_BYTES, b"".join(map(pieces.__getitem__, ids))
+        if _joined(known, _placed(ids, at, pieces)):
+            continue
+        before = b"".join(pieces[i] for _, _, i in known)
+        width = STEP_BYTES
+        while True:
+            first = max(0, at - width)
+            again = _placed(merged(before[first:at] + more, ranks), first, pieces)
+            if first == 0:
+                known = again
+                break
+            if _joined(known, again):
+                break
+            width *= 2
+    return [i for _, _, i in known]
+
+
+def _with_windows(numbers: list[int], ids_of: list[bytes], decoded_of: list[bytes], pieces: list[bytes], ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The ids of a text that has long words, and their bytes."""
+    out, plain, i = [], [], 0
+    while i < len(numbers):
+        if numbers[i] == WINDOWS:
+            n = numbers[i + 1]
+            windows = [np.frombuffer(ids_of[x], "<u4").tolist() for x in numbers[i + 2 : i + 2 + n]]
+            own = stitch(windows, pieces, ranks)
+            out.append(np.array(own, "<u4").tobytes())
+            plain += map(pieces.__getitem__, own)
+            i += 2 + n
+        else:
+            out.append(ids_of[numbers[i]])
+            plain.append(decoded_of[numbers[i]])
+            i += 1
+    return b"".join(out), b"".join(plain)
+
+
 def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame:
     """One row for a block of texts: their keys, the numbers of their words, and words not seen before in the task."""
     kind = to_arrow_type(ids_kind)
@@ -220,14 +355,14 @@ def sample_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> str
     # words that more tasks meet come first
     words = chosen.mapInArrow(distinct, "word binary").groupBy("word").agg(F.count("*").alias("met"))
     words = written(words, "distinct-words")
-    least, total = 1, 0
+    least, part, total = 0, 1.0, 0  # of the words that so many tasks met, that part
     for row in words.groupBy("met").agg(F.count("*").alias("n")).orderBy(F.desc("met")).collect():
         if total + row["n"] > SAMPLE_WORDS:
-            least = row["met"] + 1
+            least, part = row["met"], (SAMPLE_WORDS - total) / row["n"]
             break
         total += row["n"]
-    words = words.where(F.col("met") >= least)
-    found = words.select("word", encode_words(F.array("word"), rank_table(ranks))[0].alias("ids")).toArrow()
+    words = words.where((F.col("met") > least) | ((F.col("met") == least) & (F.pmod(F.xxhash64("word"), share) < int(part * (1 << 30)))))
+    found = words.select("word", encode_words(F.array("word"), ranks)[0].alias("ids")).toArrow()
     if not found.num_rows:
         return None
     word, ids = found.column("word").combine_chunks(), found.column("ids").combine_chunks()
@@ -245,33 +380,43 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_
     """id_column, ids (unsigned 32-bit little-endian) and decoded (their bytes) of every whole text.
 
     A null text is empty and has no ids. There is a row for each row of docs,
-    with null and repeated ids as they are.
+    with null and repeated ids as they are; an empty table gives none. Other
+    columns of docs are not read. Words may be as long as texts.
     """
     ranks = read_ranks(rank_path)
     seed = sample_words(docs, ranks, pattern)
     kind = docs.schema[id_column].dataType
     blocks = _cut(docs.select(F.col(id_column), F.coalesce("text", F.lit(""))), pattern, seed, kind)
-    blocks = blocks.select("keys", "ends", "numbers", encode_words(F.col("words"), rank_table(ranks)).alias("word_ids"), "anew")
+    blocks = blocks.select("keys", "ends", "numbers", encode_words(F.col("words"), ranks).alias("word_ids"), "anew")
     arrow_kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
             pieces[r] = token
-        first = _seed_ids(seed) if seed else []
-        ids_of = list(first)
+        first = _seed_ids(seed, pieces) if seed else ([], [])
+        ids_of, decoded_of = map(list, first)
         for b in batches:
             for row in range(b.num_rows):
                 keys, ends, numbers, words, anew = (c[row] for c in b.columns)
                 if anew.as_py():
-                    ids_of = list(first)
+                    ids_of, decoded_of = map(list, first)
                 if len(words):
-                    flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                    ids_of += _parts(flat, 4 * np.cumsum(words.values.value_lengths().to_numpy()))
-                own = np.frombuffer(numbers.as_buffer(), "<i4").tolist()
+                    flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                    for held, new in zip((ids_of, decoded_of), _decoded(flat, np.cumsum(words.values.value_lengths().to_numpy()), pieces), strict=True):
+                        held += new
+                own = np.frombuffer(numbers.as_buffer(), "<u4")
+                windows = (own == WINDOWS).any()
+                own = own.tolist()
                 stops = [0, *np.frombuffer(ends.as_buffer(), np.int64).tolist()]
-                ids = [b"".join(map(ids_of.__getitem__, own[a:z])) for a, z in zip(stops, stops[1:], strict=False)]
-                decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                ids, decoded = [], []
+                for x in (own[a:z] for a, z in zip(stops, stops[1:], strict=False)):
+                    if windows and WINDOWS in x:
+                        i, d = _with_windows(x, ids_of, decoded_of, pieces, ranks)
+                    else:
+                        i, d = b"".join(map(ids_of.__getitem__, x)), b"".join(map(decoded_of.__getitem__, x))
+                    ids.append(i)
+                    decoded.append(d)
                 columns = [pa.array(keys.as_py(), arrow_kind), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, "ids", "decoded"])
 
