@@ -26,6 +26,8 @@ from .shared import shared_folder, text_bytes, written
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 64 << 20, 6
 #: The seekable format: skippable frame, footer, and descriptor without checksums.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Parts in which the pages of one payload meet its first page.
+SALTS = 8
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id string, bundle string, frame int, at int, length int"
 READ = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string"
@@ -35,6 +37,15 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: str | None, copy: int) -> str:
+    return f"<urn:nopage:{copy}>" if page_id is None else f"<urn:page:{page_id}:{copy}>"
+
+
+def page_of(name: str) -> str | None:
+    """The page of a record's id."""
+    return name.removeprefix("<urn:page:").rpartition(":")[0] if name.startswith("<urn:page:") else None
+
+
 def _line(name: str, value: str) -> bytes:
     safe = value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if name == "WARC-Target-URI" else value
     return f"{name}: {safe}\r\n".encode()
@@ -44,14 +55,13 @@ def record(page_id: str | None, copy: int, url: str | None, payload: bytes, payl
     """A response with its payload, or a revisit without."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    name = "" if page_id is None else page_id
-    out = [b"WARC/1.1\r\n", _line("WARC-Type", "revisit" if revisit else "response"), _line("WARC-Record-ID", f"<urn:page:{name}:{copy}>")]
+    out = [b"WARC/1.1\r\n", _line("WARC-Type", "revisit" if revisit else "response"), _line("WARC-Record-ID", record_id(page_id, copy))]
     if url is not None:
         out.append(_line("WARC-Target-URI", url))
     out += [_line("WARC-Date", DATE), _line("WARC-Payload-Digest", f"sha1:{payload_digest}")]
     if revisit:
         out.append(_line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        out.append(_line("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}:0>"))
+        out.append(_line("WARC-Refers-To", record_id(refers_to, 0)))
     out += [_line("Content-Type", "application/http; msgtype=response"), _line("Content-Length", str(len(block)))]
     return b"".join([*out, b"\r\n", block, b"\r\n\r\n"])
 
@@ -132,15 +142,19 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
 
     Payloads of least_bytes or more are stored once. Null html is an empty
     payload; null ids come after others, and of rows that repeat id and payload
-    the first is as their id says and the rest revisit it. Bundles of failed
-    attempts stay unreferenced.
+    the first is as their id says and the rest revisit it. An empty table gives
+    an empty index; other columns are not read; a payload longer than a frame
+    has one of its own. Bundles of failed attempts stay unreferenced.
     """
     create_folder(path)
     # the digest decides what is equal; hot payloads meet in partial counts only
     rows = pages.select("page_id", "url", text_bytes("html").alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     keys = rows.where(F.length("payload") >= least_bytes).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    # a payload may be that of a third of all pages
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = keys.join(first, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
     revisits = revisits.select("page_id", "digest", F.col("first").cast("string").alias("first"))
     # a mark that says whom a page revisits sorts just before the page; rows that repeat id and payload are neighbours
     marked = rows.withColumn("first", F.lit(None).cast("string")).withColumn("mark", F.lit(0))
@@ -175,7 +189,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
                 if bundle is None:
                     uri = f"{path}/{uuid.uuid4().hex}.warc.zst"
                     bundle = BundleWriter(uri)
-                data = record(name, copy, url, payload, own, (target or name) if again else None, again)
+                data = record(name, copy, url, payload, own, (name if target is None else target) if again else None, again)
                 frame, at = bundle.add(data)
                 found.append((name, uri, frame, at, len(data)))
                 if bundle.written >= BUNDLE_BYTES:
@@ -188,8 +202,9 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
 
 
 def read_archive(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, read back frame by frame."""
+    """Every record of the bundles that the index names, read back frame by frame, each bundle in a task of its own."""
     bundles = index.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, bundles.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
@@ -202,10 +217,9 @@ def read_archive(spark: SparkSession, index: DataFrame) -> DataFrame:
                             kind, cut = headers["WARC-Type"], block.index(b"\r\n\r\n") + 4
                             size = int(block[:cut].rsplit(b"Content-Length: ", 1)[1].split(b"\r\n", 1)[0])
                             code = headers["WARC-Payload-Digest"].removeprefix("sha1:") if kind == "revisit" else digest(block[cut:])
-                            page = lambda x: x[len("<urn:page:") :].rsplit(":", 1)[0] or None
                             url = headers.get("WARC-Target-URI")
                             url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                            rows.append((page(headers["WARC-Record-ID"]), size if kind == "revisit" else len(block) - cut, code, kind, page(headers["WARC-Refers-To"]) if kind == "revisit" else None, url))
+                            rows.append((page_of(headers["WARC-Record-ID"]), size if kind == "revisit" else len(block) - cut, code, kind, page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None, url))
                         types = [pa.string(), pa.int64(), *[pa.string()] * 4]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
