@@ -269,9 +269,14 @@ def q24_keyword_distinct_hits(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.distinct_hits(F.lower("text"), L.ENGLISH_CHEMISTRY).alias("n"))
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+@query("""WITH d AS (SELECT source, lang, doc_id % 5 AS chapter FROM documents)
+SELECT 'content_type' AS by, source AS content_type, NULL AS language, NULL AS chapter, count(*) AS n FROM d GROUP BY source UNION ALL
+SELECT 'language', NULL, lang, NULL, count(*) FROM d GROUP BY lang UNION ALL SELECT 'chapter', NULL, NULL, chapter, count(*) FROM d GROUP BY chapter""")
 def q25_doc_type_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.count("*").alias("n"))
+    from ..operators import documents
+
+    d = read(spark, sf_dir, "documents")
+    return documents.type_counts(d.select(F.col("source").alias("content_type"), F.col("lang").alias("language"), (F.col("doc_id") % 5).alias("chapter")))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, 'sample of ' || l_quantity::INT || ' g in ' || (l_suppkey % 50 + 1) || ' cm3, ' || (l_partkey % 9 + 1) || ' mol dm3 and ' || l_linenumber || ' mg' AS q FROM lineitem)
@@ -334,10 +339,11 @@ def q33_ratio_eval(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(N.ratio(F.col("l_extendedprice"), F.col("l_tax")), 4).alias("value"))
 
 
-@query("SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 4) AS mean FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_orderkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 7) AS mean FROM lineitem GROUP BY l_orderkey")
 def q34_weighted_mean(spark, sf_dir):
-    w = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_quantity")).alias("s"), F.sum("l_quantity").alias("w"))
-    return w.select("l_suppkey", F.round(N.ratio(F.col("s"), F.col("w")), 4).alias("mean"))
+    w = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_quantity")).alias("x"))
+    x = F.array_sort("x")  # an order has few lines
+    return w.select("l_orderkey", F.round(N.weighted_mean(F.transform(x, lambda r: r["l_extendedprice"]), F.transform(x, lambda r: r["l_quantity"])), 7).alias("mean"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, [l_quantity, l_quantity * 2, l_quantity + l_linenumber * 0.1] AS v FROM lineitem),
@@ -426,10 +432,12 @@ def q42_issue_summary(spark, sf_dir):
 
 @query("""SELECT 'document' AS kind, doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT 'page', page_id, NULL, url FROM pages UNION ALL SELECT 'item', item_id, NULL, NULL FROM benchmark""")
 def q45_ragged_union(spark, sf_dir):
+    from ..operators import documents
+
     d = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "lang")
     p = read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "url")
     b = read(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"))
-    return d.unionByName(p, allowMissingColumns=True).unionByName(b, allowMissingColumns=True)
+    return documents.build_corpus([d, p, b])
 
 
 # ---- state
@@ -485,8 +493,6 @@ def q51_session_windows(spark, sf_dir):
     return e.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-
-
 # ---- documents and confidence
 
 
@@ -519,18 +525,49 @@ def q44_quick_confidence(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", confidence.quick_confidence(F.col("text")).alias("score"))
 
 
-@query()
+#: (question, its task, the answer as SQL) for quantity q and line number n; what stands in braces is put in.
+ASKED = (
+    ("Hitungkan bilangan mol {q} g NaOH", "moles_from_mass", "q / 40"),
+    ("isipadu {n} mol gas pada RTP", "volume_from_moles", "n * 24"),
+    ("volume of {n} mol gas at STP", "volume_from_moles", "n * 22.4"),
+    ("Apakah JMR K4Fe(CN)6?", "jmr", "368"),
+    ("pH asid dengan [H+] = 0.0{n} mol dm-3", "ph_from_h", "-log10(n / 100)"),
+    ("25 cm3 0.{n} mol dm-3 NaOH dititrat dengan 0.2 mol dm-3 HCl", "titration_find_volume", "25 * n / 10 / 0.2"),
+    ("{q} g H2, 2H2 + O2 -> 2H2O, berapakah jisim H2O terhasil?", "stoichiometry_mass_to_mass", "q / 2 * 18"),
+    ("{q} g CaCO3 -> CaO + CO2, berapakah isipadu CO2 pada RTP?", "stoichiometry_mass_to_volume", "q / 100 * 24"),
+    ("Isotop Cl-35 (1{n}%) dan Cl-37 (20%), jisim atom relatif?", "ar_from_abundance", "(35 * (10 + n) + 37 * 20) / (30 + n)"),
+    ("nombor proton Z = 11, nombor nukleon A = 2{n}, bilangan neutron?", "subatomic", "9 + n"),
+    ("{q} g N2 dan {n} g O2, jumlah mol?", "moles_multi", "q / 28 + n / 32"),
+    ("Zn E0 = -0.7{n} V, Cu E0 = +0.34 V, berapakah voltan sel?", "voltaic_cell", "0.34 + 0.7 + n / 100"),
+    ("Tentukan nombor pengoksidaan Mn dalam KMnO4", "oxidation_number", "7"),
+    ("berapakah jisim {n} mol NaCl", "mass_from_moles", "n * 58.5"),
+    ("kadar tindak balas {q} cm3 dalam 20 s", "rate_average", "q / 20"),
+    ("terangkan larutan", "unknown", "NULL::DOUBLE"),
+)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n"))
+    texts = F.array(*(F.format_string(t.replace("%", "%%").replace("{q}", "%1$d").replace("{n}", "%2$d"), "q", "n") for t, _, _ in ASKED))
+    return li.select("l_orderkey", "l_linenumber", texts[(F.col("l_orderkey") % len(ASKED)).cast("int")].alias("question"))
+
+
+def _sql_asked(i: int) -> str:
+    return "CASE l_orderkey % " + str(len(ASKED)) + " " + " ".join(f"WHEN {k} THEN {row[i] if i == 2 else repr(row[i])}" for k, row in enumerate(ASKED)) + " END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_sql_asked(1)} AS task FROM lineitem")
 def q52_classify_questions(spark, sf_dir):
     from ..functions import questions
 
-    li = read(spark, sf_dir, "lineitem")
-    kind = (F.col("l_orderkey") % 4).cast("int")
-    q = F.array(
-        F.concat(F.lit("Hitungkan bilangan mol "), F.col("l_quantity"), F.lit(" g NaOH")), F.concat(F.lit("kadar tindak balas "), F.col("l_quantity"), F.lit(" cm3 dalam 20 s")),
-        F.concat(F.lit("pH asid dengan [H+] = 0.0"), F.col("l_linenumber"), F.lit(" mol dm-3")), F.concat(F.lit("isipadu "), F.col("l_discount"), F.lit(" mol gas pada RTP")),
-    )[kind]
-    records = questions.task_records(li.select("l_orderkey", "l_linenumber", q.alias("question")))
-    return records.groupBy("task", "rule").agg(F.count("*").alias("n"))
+    return questions.task_records(_asked(spark, sf_dir)).select("l_orderkey", "l_linenumber", "task")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(({_sql_asked(2)})::DOUBLE, 6) AS answer FROM (SELECT l_orderkey, l_linenumber, floor(l_quantity)::DOUBLE AS q, l_linenumber::DOUBLE AS n FROM lineitem)")
+def q54_solve_questions(spark, sf_dir):
+    from . import retrieval
+
+    return retrieval.solve(_asked(spark, sf_dir)).select("l_orderkey", "l_linenumber", F.round("answer_value", 6).alias("answer"))
 
 
 def _sql_issues() -> str:
