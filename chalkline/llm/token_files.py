@@ -9,8 +9,8 @@ read takes constant time and foreign keys are told with high probability.
 
 from __future__ import annotations
 
-import io
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import create_folder, open_input, open_output, read_bytes, write_bytes
+from .files import create_folder, open_input, open_output, write_bytes
 from .shared import shared_folder, written
 from .units import LITERAL, MARKS, unit_text, units
 
@@ -125,7 +125,13 @@ def encoder(path: str) -> UnitEncoder:
 
 def key_bytes(doc_id: str | None, copy: int) -> bytes:
     """The key of the copy-th document with that id; a null id differs from any text."""
-    return (b"\0" if doc_id is None else doc_id.encode()) + (b"\0%d" % copy if copy else b"")
+    return b"%d-" % copy if doc_id is None else b"%d=" % copy + doc_id.encode()
+
+
+def key_parts(key: bytes) -> tuple[str | None, int]:
+    """The id and the copy of a key."""
+    digits = len(key) - len(key.lstrip(b"0123456789"))
+    return None if key[digits : digits + 1] == b"-" else key[digits + 1 :].decode(), int(key[:digits])
 
 
 def _hashes(key: bytes) -> tuple[int, int]:
@@ -177,48 +183,66 @@ def build_mph(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shift, slot, (h2 >> np.uint64(32)).astype(np.uint32)
 
 
+#: An index file: magic, keys, buckets; displacements; slots; sizes of the keys in document order, and the keys.
+HEAD = struct.Struct("<4sqq")
+MAGIC = b"mph1"
+SLOT = np.dtype([("print", "<u4"), ("length", "<i8"), ("start", "<i8")])
+SHIFT = np.dtype("<i4")
+
+
 class ShardIndex:
-    """Keys to (place in the payload, ids); None for a key whose fingerprint differs."""
+    """Keys to (place in the payload, ids), by an open index file; None for a key whose fingerprint differs.
 
-    def __init__(self, data: bytes):
-        x = np.load(io.BytesIO(data))
-        self.shift, self.prints, self.starts, self.lengths = x["shift"], x["prints"], x["starts"], x["lengths"]
-        self.ids, self.copies, self.void = x["ids"], x["copies"], x["void"]
+    find() reads the head, one displacement and one slot, however large the index.
+    """
+
+    def __init__(self, file):
+        self.file = file
+        magic, self.n, self.buckets = HEAD.unpack(self._read(0, HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not an index")
+        self.slots_at = HEAD.size + self.buckets * SHIFT.itemsize
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
 
     def find(self, key: bytes) -> tuple[int, int] | None:
-        n = len(self.prints)
-        if not n:
+        if not self.n:
             return None
         h1, h2 = _hashes(key)
-        d = int(self.shift[h1 % len(self.shift)])
-        slot = -1 - d if d < 0 else int(_slots(np.array([h1], np.uint64), np.array([h2], np.uint64), d, n)[0] % np.uint64(n))
-        return (int(self.starts[slot]), int(self.lengths[slot])) if self.prints[slot] == h2 >> 32 else None
+        d = int(np.frombuffer(self._read(HEAD.size + h1 % self.buckets * SHIFT.itemsize, SHIFT.itemsize), SHIFT)[0])
+        slot = -1 - d if d < 0 else int(_slots(np.array([h1], np.uint64), np.array([h2], np.uint64), d, self.n)[0] % np.uint64(self.n))
+        own = np.frombuffer(self._read(self.slots_at + slot * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+        return (int(own["start"]), int(own["length"])) if own["print"] == h2 >> 32 else None
+
+    def keys(self) -> list[bytes]:
+        """All keys in document order."""
+        at = self.slots_at + self.n * SLOT.itemsize
+        ends = np.cumsum(np.frombuffer(self._read(at, 4 * self.n), "<u4").astype(np.int64)).tolist()
+        data = self._read(at + 4 * self.n, ends[-1] if ends else 0)
+        return [data[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
     def find_all(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """find() for many keys, which must all be known."""
-        n = len(self.prints)
+        shift = np.frombuffer(self._read(HEAD.size, self.buckets * SHIFT.itemsize), SHIFT).astype(np.int64)
+        slots = np.frombuffer(self._read(self.slots_at, self.n * SLOT.itemsize), SLOT)
         pairs = np.array([_hashes(k) for k in keys], np.uint64).reshape(len(keys), 2)
-        d = self.shift[(pairs[:, 0] % np.uint64(len(self.shift))).astype(np.int64)]
-        moved = _slots(pairs[:, 0], pairs[:, 1], np.maximum(d, 0).astype(np.uint64), n) % np.uint64(n)
-        slot = np.where(d < 0, -1 - d, moved.astype(np.int64))
-        if (self.prints[slot] != (pairs[:, 1] >> np.uint64(32)).astype(np.uint32)).any():
+        d = shift[(pairs[:, 0] % np.uint64(self.buckets)).astype(np.int64)]
+        moved = _slots(pairs[:, 0], pairs[:, 1], np.maximum(d, 0).astype(np.uint64), self.n) % np.uint64(self.n)
+        own = slots[np.where(d < 0, -1 - d, moved.astype(np.int64))]
+        if (own["print"] != (pairs[:, 1] >> np.uint64(32)).astype(np.uint32)).any():
             raise KeyError("a key is not in this shard")
-        return self.starts[slot], self.lengths[slot]
-
-    def keys(self) -> list[tuple[str | None, int]]:
-        return [(None if v else i, int(c)) for i, c, v in zip(self.ids.tolist(), self.copies, self.void, strict=True)]
+        return own["start"], own["length"]
 
 
 def index_bytes(ids: list[str | None], copies: list[int], starts: list[int], lengths: list[int]) -> bytes:
-    shift, slot, prints = build_mph([key_bytes(i, c) for i, c in zip(ids, copies, strict=True)])
-    n, out = len(ids), io.BytesIO()
-    by_slot = np.empty(n, np.int64)
-    by_slot[slot] = np.arange(n)
-    np.savez_compressed(
-        out, shift=shift, prints=prints[by_slot], starts=np.array(starts, np.int64)[by_slot], lengths=np.array(lengths, np.int64)[by_slot],
-        ids=np.array([i or "" for i in ids], dtype=str), copies=np.array(copies, np.int32), void=np.array([i is None for i in ids], bool),
-    )
-    return out.getvalue()
+    keys = [key_bytes(i, c) for i, c in zip(ids, copies, strict=True)]
+    shift, slot, prints = build_mph(keys)
+    slots = np.empty(len(keys), SLOT)
+    slots["print"][slot], slots["start"][slot], slots["length"][slot] = prints, starts, lengths
+    sizes = np.array([len(k) for k in keys], "<u4")
+    return b"".join([HEAD.pack(MAGIC, len(keys), len(shift)), shift.astype(SHIFT).tobytes(), slots.tobytes(), sizes.tobytes(), *keys])
 
 
 # ---- files
@@ -229,7 +253,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
 
     Each document ends with END_ID; a null text is empty. Null ids come first;
     rows that repeat an id follow each other by a hash of the text and have
-    keys of their own. Files of failed attempts stay unreferenced.
+    keys of their own. An empty table gives an empty manifest; other columns of
+    docs are not read. Files of failed attempts stay unreferenced.
     """
     create_folder(path)
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
@@ -275,18 +300,20 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, vocabulary: str) -> Da
         dtype = encoder(vocabulary).dtype
         for b in batches:
             for payload, index, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = ShardIndex(read_bytes(index))
-                keys = own.keys()
-                starts, lengths = own.find_all([key_bytes(*k) for k in keys])
+                with open_input(index) as f:
+                    own = ShardIndex(f)
+                    keys = own.keys()
+                    starts, lengths = own.find_all(keys)
                 with open_input(payload) as f:
                     for k in range(0, len(keys), 1024):
                         part = slice(k, k + 1024)
+                        ids, copies = zip(*map(key_parts, keys[part]), strict=True)
                         sums = []
                         for s, n in zip(starts[part].tolist(), lengths[part].tolist(), strict=True):
                             f.seek(s * dtype.itemsize)
                             sums.append(zlib.crc32(np.frombuffer(f.read(n * dtype.itemsize), dtype).astype("<u4").tobytes()))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([i for i, _ in keys[part]], pa.string()), pa.array([c for _, c in keys[part]], pa.int32()), pa.array(starts[part] + base), pa.array(lengths[part]), pa.array(sums, pa.int64())],
+                            [pa.array(ids, pa.string()), pa.array(copies, pa.int32()), pa.array(np.ascontiguousarray(starts[part]) + base), pa.array(np.ascontiguousarray(lengths[part])), pa.array(sums, pa.int64())],
                             names=["doc_id", "copy", "start", "n_tokens", "ids_crc32"],
                         )
 
@@ -296,7 +323,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, vocabulary: str) -> Da
 
 
 def document_tokens(manifest: DataFrame, doc_id, vocabulary: str, copy: int = 0) -> list[int] | None:
-    """The ids of one document by its key; None if it has none."""
+    """The ids of one document by its key, from one index slot and one run of its payload; None if it has none."""
     key = key_bytes(None if doc_id is None else str(doc_id), copy)
     dtype = encoder(vocabulary).dtype
     number = isinstance(doc_id, int)
@@ -305,7 +332,9 @@ def document_tokens(manifest: DataFrame, doc_id, vocabulary: str, copy: int = 0)
         first, last = (F.col(c).cast("bigint") if number else F.col(c) for c in ("first", "last"))
         near = manifest.where(first.isNull() | ((first <= F.lit(doc_id)) & (last >= F.lit(doc_id))))
     for m in near.orderBy("shard").toLocalIterator():
-        if at := ShardIndex(read_bytes(m["index"])).find(key):
+        with open_input(m["index"]) as f:
+            at = ShardIndex(f).find(key)
+        if at:
             with open_input(m["payload"]) as f:
                 f.seek(at[0] * dtype.itemsize)
                 return np.frombuffer(f.read(at[1] * dtype.itemsize), dtype).tolist()
