@@ -2,9 +2,11 @@
 
 Strict rules give the base spans, which always stay. High-recall generators
 propose further, overlapping spans; gradient-boosted trees score each from its
-format and its context, and those over a calibrated threshold are added. Trees
-are fitted on a bounded sample, with the strict rules as teachers, and applied
-as nested CASE expressions inside the span arrays, so nothing is shuffled.
+format and its context, and those over their kind's calibrated threshold are
+added. Trees are fitted on a bounded sample: strict spans written as people
+disguise or garble them, in their own contexts, against what the generators
+propose elsewhere. They are applied as nested CASE expressions inside the span
+arrays, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from .spans import SPAN, count, find_spans, joined
 
 #: Documents whose candidates a fit may read, and candidates at most.
 FIT_DOCUMENTS, FIT_CANDIDATES = 20_000, 50_000
-ROUNDS, RATE, PRECISION = 24, 0.3, 0.95
+ROUNDS, RATE = 24, 0.3
+#: The share of right ones among what a kind adds, on held-out examples, and how many of these must be right at least.
+PRECISION, LEAST_RIGHT = 0.98, 20
 BASE = ("email", "ip", "card", "phone")
 
 #: Possessive loops and the look-behind (or the end of the last match) find the same spans as
@@ -97,26 +101,41 @@ def overlaps(base: Column, s: Column) -> Column:
     return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
-def features(s: Column, text: Column) -> dict[str, Column]:
+def context(s: Column, text: Column) -> tuple[Column, Column, Column]:
+    """A span's match, and the text before and after it that the trees see."""
+    return s["match"], F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))), F.substring(text, s["end"] + 1, F.lit(1))
+
+
+def features(m: Column, before: Column, after: Column) -> dict[str, Column]:
     """What the trees see of a candidate: its format, and the text around it. No strict rule is among them."""
-    m = s["match"]
-    before = F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32)))
     n = lambda p: F.regexp_count(m, F.lit(p))
     return {
         "length": F.length(m), "digits": n("[0-9]"), "letters": n("[A-Za-z]"), "dots": n(r"\."), "dashes": n("-"), "spaces": n(" "), "brackets": n(r"[()\[\]]"),
         "groups": n("[0-9]+"), "longest_lead": F.length(F.regexp_extract(m, r"^[+(]?([0-9]*)", 1)), "plus": m.startswith("+").cast("int"),
         "at": F.contains(m, F.lit("@")).cast("int"), "first": F.ascii(digits(m)), "cue": before.rlike(CUES).cast("int"),
-        "glued": (before.rlike(r"[\p{L}\p{N}_.,/-]$") | F.substring(text, s["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_/-]")).cast("int"),
+        "glued": (before.rlike(r"[\p{L}\p{N}_.,/-]$") | after.rlike(r"[\p{L}\p{N}_/-]")).cast("int"),
     }
 
 
+#: How strict spans are disguised or garbled: base kind, the generator that then proposes them, and the writing.
+DISGUISES = (
+    ("email", "address", lambda m: F.regexp_replace(F.replace(m, F.lit("@"), F.lit(" (at) ")), r"\.(?=[A-Za-z0-9-]+$)", " (dot) ")),
+    ("email", "address", lambda m: F.replace(m, F.lit("@"), F.lit("[at]"))),
+    ("email", "address", lambda m: F.replace(m, F.lit("@"), F.lit(" @ "))),
+    ("card", "number", lambda m: F.regexp_replace(m, "[ -]", ".")),
+    ("card", "number", lambda m: F.regexp_replace(m, "[ -]", "  ")),
+    ("phone", "number", lambda m: F.regexp_replace(m, r"^\+", "")),
+    ("phone", "number", lambda m: F.regexp_replace(m, r"^\+", "00")),
+)
+
+
 @dataclass(frozen=True)
 class Trees:
-    """Boosted trees of two levels: ((feature, cut), (feature, cut), (feature, cut), four values)."""
+    """Boosted trees of two levels: ((feature, cut), (feature, cut), (feature, cut), four values); the least score by kind."""
 
     start: float
     trees: tuple
-    threshold: float
+    thresholds: dict[str, float]
 
     def raw(self, own: dict[str, Column]) -> Column:
         out = F.lit(self.start)
@@ -139,13 +158,14 @@ def _split(x, g, h, rows):
     return best[1:]
 
 
-def boost(x: np.ndarray, y: np.ndarray, names: list[str]) -> Trees:
-    """Newton boosting of the log loss. Every third row calibrates: the threshold is the lowest score at which PRECISION still holds there.
+def boost(x: np.ndarray, y: np.ndarray, kinds: list[str], names: list[str]) -> Trees:
+    """Newton boosting of the log loss. Every third row calibrates: a kind's threshold is the lowest score at which PRECISION still holds there.
 
-    With fewer than 30 rows, or one class, nothing is ever selected.
+    With fewer than 30 rows, or one class, nothing is ever selected, nor of a
+    kind with fewer than LEAST_RIGHT right ones above its threshold.
     """
     if len(y) < 30 or y.all() or not y.any():
-        return Trees(0.0, (), np.inf)
+        return Trees(0.0, (), {})
     held = np.arange(len(y)) % 3 == 2
     start = float(np.log(y.mean() / (1 - y.mean())))
     f, trees, fit = np.full(len(y), start), [], ~held
@@ -160,37 +180,67 @@ def boost(x: np.ndarray, y: np.ndarray, names: list[str]) -> Trees:
         for q, v in zip(parts, values, strict=True):
             f[q] += v
         trees.append(((names[j], a), (names[k], b), (names[m], c), values))
-    order = np.argsort(-f[held], kind="stable")
-    right = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1)
-    good = np.flatnonzero(right >= PRECISION)
-    return Trees(start, tuple(trees), max(0.0, float(f[held][order][good[-1]])) if len(good) else np.inf)
+    thresholds = {}
+    for kind in sorted(set(kinds)):
+        own = held & (np.array(kinds) == kind)
+        order = np.argsort(-f[own], kind="stable")
+        right = np.cumsum(y[own][order])
+        good = np.flatnonzero((right >= PRECISION * np.arange(1, own.sum() + 1)) & (right >= LEAST_RIGHT))
+        if len(good):
+            thresholds[kind] = max(0.0, float(f[own][order][good[-1]]))
+    return Trees(start, tuple(trees), thresholds)
+
+
+def examples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, features and y: disguised strict spans (1) and candidates that overlap no strict span (0)."""
+    found = candidates(docs.select("doc_id", text), text)
+
+    def row(kind, parts: tuple[Column, Column, Column], y: int) -> Column:
+        return F.struct(kind.alias("kind"), *(c.cast("double").alias(k) for k, c in features(*parts).items()), F.lit(float(y)).alias("y"))
+
+    def disguised(base: str, kind: str, write) -> Column:
+        def one(s: Column) -> Column:
+            m, before, after = context(s, F.col("__text"))
+            return row(F.lit(kind), (write(m), before, after), 1)
+
+        return F.transform(F.filter("base", lambda s: (s["kind"] == base) & (write(s["match"]) != s["match"])), one)
+
+    elsewhere = F.transform(F.filter("loose", lambda s: ~overlaps(F.col("base"), s)), lambda s: row(s["kind"], context(s, F.col("__text")), 0))
+    return found.select(F.explode(F.concat(elsewhere, *(disguised(*d) for d in DISGUISES))).alias("c")).select("c.*")
 
 
 def fit(docs: DataFrame, text: str = "text") -> Trees:
-    """Fit on the candidates of at most FIT_DOCUMENTS texts with a digit or an at sign, chosen by a hash; the strict rules label them."""
+    """Fit on examples of at most FIT_DOCUMENTS texts with a digit or an at sign, chosen by a hash, FIT_CANDIDATES at most."""
     key = F.xxhash64("doc_id", text)
     pool = docs.where(F.col(text).rlike("[0-9]{3}|@|[(\\[]at[)\\]]"))
     last = pool.select(key.alias("k")).orderBy("k").limit(FIT_DOCUMENTS).agg(F.max("k")).first()[0]
     if last is None:
-        return Trees(0.0, (), np.inf)
-    found = candidates(pool.where(key <= last).select("doc_id", text), text)
-    each = F.transform("loose", lambda s: F.struct(*(c.cast("double").alias(k) for k, c in features(s, F.col("__text")).items()), overlaps(F.col("base"), s).cast("double").alias("y")))
-    rows = found.select(F.explode(each).alias("c")).select("c.*")
+        return Trees(0.0, (), {})
+    rows = examples(pool.where(key <= last), text)
     rows = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(FIT_CANDIDATES).collect()
-    data = np.array([tuple(r) for r in rows], np.float64).reshape(len(rows), -1)
-    return boost(data[:, :-1], data[:, -1], rows[0].__fields__[:-1]) if rows else Trees(0.0, (), np.inf)
+    if not rows:
+        return Trees(0.0, (), {})
+    data = np.array([tuple(r)[1:] for r in rows], np.float64)
+    return boost(data[:, :-1], data[:, -1], [r["kind"] for r in rows], rows[0].__fields__[1:-1])
 
 
 def find(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """docs with spans: base spans, and selected candidates that overlap none of them, by start.
 
-    One row for each input row; a null text has no spans. A column of docs
-    called spans, base or loose gives way.
+    One row for each input row, repeated ones too; a null text has no spans, an
+    empty table no rows; texts may be of any length. A column of docs called
+    spans, base or loose gives way.
     """
     found = candidates(docs.drop("spans", "base", "loose"), text)
-    if not trees.trees:
+    if not trees.thresholds:
         return found.withColumn("spans", F.col("base")).drop("__text", "base", "loose")
-    chosen = F.filter("loose", lambda s: ~overlaps(F.col("base"), s) & (trees.raw(features(s, F.col("__text"))) >= trees.threshold))
+    def good(s: Column) -> Column:
+        least = F.lit(None).cast("double")
+        for kind, threshold in trees.thresholds.items():
+            least = F.when(s["kind"] == kind, threshold).otherwise(least)
+        return F.coalesce(trees.raw(features(*context(s, F.col("__text")))) >= least, F.lit(False))
+
+    chosen = F.filter("loose", lambda s: ~overlaps(F.col("base"), s) & good(s))
     return found.withColumn("spans", F.array_sort(F.concat("base", chosen)).cast(SPAN)).drop("__text", "base", "loose")
 
 
