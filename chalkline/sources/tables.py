@@ -38,17 +38,15 @@ def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def upsert_batches(path: str, key: str, at: str):
-    """A foreachBatch function that keeps the latest row of each key, in a new version of the table for each batch."""
+    """A foreachBatch function that keeps the latest row of each key, in a new version of the table for each batch.
+
+    A batch whose predecessor has no version fails: going on would lose its rows.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            last = spark.read.parquet(f"{path}/current={number - 1}") if number else None
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
-        merged = upsert(last if last is not None else batch.limit(0), batch, key, at)
+        last = spark.read.parquet(f"{path}/current={number - 1}") if number else batch.limit(0)
+        merged = upsert(last, batch, key, at)
         merged.write.mode("overwrite").parquet(f"{path}/current={number}")
 
     return run

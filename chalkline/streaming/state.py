@@ -31,7 +31,10 @@ def hit_counts(lookups: DataFrame, key: str = "q_hash", at: str = "ts") -> DataF
 
 
 def _folded(events: DataFrame, key: str, at: str, state: str, out: str, first: tuple, step: Callable[[tuple, dict], tuple[tuple, dict[str, Any]]], kept_for: str | None) -> DataFrame:
-    """Events of each key in time order within a batch, through a state that is carried from batch to batch."""
+    """Events of each key in time order within a batch, through a state that is carried from batch to batch.
+
+    An event that comes in a later batch than a younger one is applied when it comes.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
