@@ -3,7 +3,8 @@
 Explicit rules decide first. Other pages follow the reputation of their host:
 the rate of bad pages, shrunk through beta-binomial priors from host to
 registered domain to suffix to all pages. A host is blocked when the lower
-bound of its posterior rate reaches BLOCK_AT.
+bound of its posterior rate reaches BLOCK_AT. Outcomes of pages are given by the
+caller; where nobody has labelled pages, page_outcome() stands in.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "
 Z, BLOCK_AT = 1.645, 0.3
 #: Prior weights, in pages, that an estimate is held between.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 200.0
-#: A page is bad if so many of its words, or more, are junk or shouted.
+#: A page is bad if so many of its words, or more, are junk or shouted, or if its host has one of these words.
 BAD_SHARE = 0.1
+BAD_WORDS = ("ads", "adult", "bet", "casino", "porn", "spam", "viagra", "xxx")
+HOST_WORDS = f"(^|[^a-z0-9])({'|'.join(BAD_WORDS)})([^a-z0-9]|$)"
 SALTS = 16
 LEVELS = ("suffix", "domain", "host")
 
@@ -48,11 +51,11 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return name, verdict
 
 
-def bad_page(html: Column) -> Column:
-    """The outcome of a page by its text: 1 bad, 0 good, null without a text."""
+def page_outcome(host: Column, html: Column) -> Column:
+    """A stand-in for labels: 1 bad, 0 good by the host's words and the text; null without a text and such a word."""
     junk = F.regexp_count(html, F.lit(r"[#*$%]{3}|&amp;&amp;&amp;|!!"))
     blanks = F.length(html) - F.length(F.replace(html, F.lit(" "), F.lit("")))
-    return (junk >= BAD_SHARE * (blanks + 1)).cast("int")
+    return F.when(host.rlike(HOST_WORDS), 1).otherwise((junk >= BAD_SHARE * (blanks + 1)).cast("int"))
 
 
 def suffix_of(host: Column) -> Column:
@@ -71,8 +74,10 @@ def domain_of(host: Column, suffix: Column) -> Column:
 def reputations(outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, rate, bound) of the hosts in outcomes (host, bad 0/1 or null); unlabelled rows and the empty host do not count.
 
-    Each level's prior has the mean of the level above and a weight by the
-    method of moments from how much its members vary.
+    A member's prior has the rate of its parent as mean and a weight by the
+    method of moments of the beta-binomial distribution: how much the level's
+    members vary about their parents, beyond what their counts explain. The
+    bound is that of the normal distribution with the posterior's moments.
     """
     hosts = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = written(hosts, "host-outcomes")  # one pass over the pages serves every level
@@ -83,32 +88,40 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     mean = (every["bad"] + 0.5) / (every["n"] + 1) if every["n"] else 0.5
 
     def weight(level: DataFrame) -> float:
-        r = level.agg(F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - mean, F.lit(2))).alias("v"), F.sum("n").alias("n"), F.count("*").alias("members")).first()
-        if not r["n"]:
+        """level: n, bad and prior, the mean that its parent gives."""
+        noise, off = F.col("prior") * (1 - F.col("prior")), F.col("bad") / F.col("n") - F.col("prior")
+        r = level.agg(F.sum(F.col("n") * off * off).alias("v"), F.sum(noise).alias("least"), F.sum(F.col("n") * noise).alias("most")).first()
+        if r["v"] is None or r["most"] - r["least"] <= 1e-9:
             return MOST_WEIGHT
-        noise = mean * (1 - mean)
-        between = max(r["v"] / r["n"] - noise * r["members"] / r["n"], 1e-6)
-        return float(min(max(noise / between - 1, LEAST_WEIGHT), MOST_WEIGHT))
-
-    def shrunk(n: Column, bad: Column, prior: Column, k: float) -> Column:
-        return (bad + k * prior) / (n + k)
-
-    w = {"suffix": weight(suffixes), "domain": weight(domains), "host": weight(hosts)}
-    suffixes = suffixes.select("suffix", shrunk(F.col("n"), F.col("bad"), F.lit(mean), w["suffix"]).alias("by_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("n"), F.col("bad"), F.col("by_suffix"), w["domain"]).alias("by_domain"))
-    hosts = hosts.join(domains, "domain").withColumn("rate", shrunk(F.col("n"), F.col("bad"), F.col("by_domain"), w["host"]))
-    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + w["host"] + 1))
+        alike = max((r["v"] - r["least"]) / (r["most"] - r["least"]), 1e-9)
+        return float(min(max(1 / alike - 1, LEAST_WEIGHT), MOST_WEIGHT))
+
+    def shrunk(level: DataFrame, k: float) -> Column:
+        return (level["bad"] + k * level["prior"]) / (level["n"] + k)
+
+    suffixes = suffixes.withColumn("prior", F.lit(mean))
+    by_suffix = suffixes.select("suffix", shrunk(suffixes, weight(suffixes)).alias("prior"))
+    domains = domains.join(by_suffix, "suffix")
+    by_domain = domains.select("domain", shrunk(domains, weight(domains)).alias("prior"))
+    hosts = hosts.join(by_domain, "domain")
+    k = weight(hosts)
+    hosts = hosts.withColumn("rate", shrunk(hosts, k))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k + 1))
     return hosts.withColumn("bound", F.col("rate") - Z * spread).select("host", "n", "bad", "rate", "bound")
 
 
-def judge(pages: DataFrame, rules=RULES, block_at: float = BLOCK_AT) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, block_at: float = BLOCK_AT, outcomes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each page, repeated and null ids too.
 
-    Pages of unknown or empty hosts are allowed unless a rule blocks them. Rows
-    meet the blocked hosts by host and a salt, so one host may hold most pages.
+    outcomes (url, bad: 1 or 0) are labelled pages, which need not be among
+    pages; without them page_outcome() labels the pages. Pages of unknown or
+    empty hosts are allowed unless a rule blocks them. Rows meet the blocked
+    hosts by host and a salt, so one host may hold most pages. An empty table
+    gives none; other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
-    known = reputations(pages.select(host.alias("host"), bad_page(F.col("html")).alias("bad")))
+    own = pages.select(host.alias("host"), "html").select("host", page_outcome(F.col("host"), F.col("html")).alias("bad")) if outcomes is None else outcomes.select(host.alias("host"), "bad")
+    known = reputations(own)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     blocked = known.where(F.col("bound") >= block_at).select(F.col("host").alias("bad_host"), salts.alias("bad_salt"))
     own = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -128,9 +141,10 @@ def _sql_reputation() -> str:
     verdict = "CASE\n" + fits.format(*(v for v, _, _ in ordered)) + " END"
 
     def weight(level: str) -> str:
-        return f"""(SELECT CASE WHEN count(*) = 0 THEN {MOST_WEIGHT} ELSE
-      least(greatest(any_value(mean) * (1 - any_value(mean)) / greatest(sum(n * power(bad / n - mean, 2)) / sum(n) - any_value(mean) * (1 - any_value(mean)) * count(*) / sum(n), 1e-6) - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) END
-      FROM {level}, overall)"""
+        """Of a table with n, bad and prior."""
+        noise = "prior * (1 - prior)"
+        return f"""(SELECT CASE WHEN sum(n * {noise}) - sum({noise}) <= 1e-9 OR count(*) = 0 THEN {MOST_WEIGHT} ELSE
+      least(greatest(1 / greatest((sum(n * power(bad / n - prior, 2)) - sum({noise})) / (sum(n * {noise}) - sum({noise})), 1e-9) - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) END FROM {level})"""
 
     return f"""
 WITH parted AS (
@@ -139,20 +153,24 @@ own AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parted),
 outcomes AS (
-  SELECT host, CASE WHEN len(regexp_extract_all(html, '[#*$%]{{3}}|&amp;&amp;&amp;|!!')) >= {BAD_SHARE} * (length(html) - length(replace(html, ' ', '')) + 1) THEN 1 ELSE 0 END AS bad
-  FROM own WHERE html IS NOT NULL AND host <> ''),
-hosts0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM outcomes GROUP BY host),
+  SELECT host, CASE WHEN regexp_matches(host, '{HOST_WORDS}') THEN 1
+    WHEN len(regexp_extract_all(html, '[#*$%]{{3}}|&amp;&amp;&amp;|!!')) >= {BAD_SHARE} * (length(html) - length(replace(html, ' ', '')) + 1) THEN 1 WHEN html IS NOT NULL THEN 0 END AS bad
+  FROM own WHERE host <> ''),
+hosts0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM outcomes WHERE bad IS NOT NULL GROUP BY host),
 hosts1 AS (SELECT *, {bare} AS bare, regexp_extract({bare}, '([^.]+\\.[^.]+)$', 1) AS two FROM hosts0),
 hosts2 AS (SELECT *, CASE WHEN two IN ({two}) THEN two ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix FROM hosts1),
 hosts3 AS (SELECT *, regexp_extract(substr(bare, 1, greatest(length(bare) - length(suffix) - 1, 0)), '([^.]+)$', 1) AS label FROM hosts2),
 hosts AS (SELECT host, n, bad, suffix, CASE WHEN label <> '' THEN label || '.' || suffix ELSE bare END AS domain FROM hosts3),
-domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS mean FROM suffixes),
-weights AS (SELECT {weight("suffixes")} AS ks, {weight("domains")} AS kd, {weight("hosts")} AS kh),
-by_suffix AS (SELECT suffix, (bad + ks * mean) / (n + ks) AS rate FROM suffixes, weights, overall),
-by_domain AS (SELECT domain, (d.bad + kd * s.rate) / (d.n + kd) AS rate FROM domains d JOIN by_suffix s USING (suffix), weights),
-by_host AS (SELECT host, h.n, kh, (h.bad + kh * d.rate) / (h.n + kh) AS rate FROM hosts h JOIN by_domain d USING (domain), weights),
+domains0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains0 GROUP BY ALL),
+overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS mean FROM suffixes0),
+suffixes AS (SELECT s.*, mean AS prior FROM suffixes0 s, overall),
+ks AS (SELECT {weight("suffixes")} AS k),
+domains AS (SELECT d.*, (s.bad + k * s.prior) / (s.n + k) AS prior FROM domains0 d JOIN suffixes s USING (suffix), ks),
+kd AS (SELECT {weight("domains")} AS k),
+priors AS (SELECT h.*, (d.bad + k * d.prior) / (d.n + k) AS prior FROM hosts h JOIN domains d USING (domain), kd),
+kh AS (SELECT {weight("priors")} AS k),
+by_host AS (SELECT host, n, k AS kh, (bad + k * prior) / (n + k) AS rate FROM priors, kh),
 blocked AS (SELECT host FROM by_host WHERE rate - {Z} * sqrt(rate * (1 - rate) / (n + kh + 1)) >= {BLOCK_AT})
 SELECT page_id, host, path, {rule} AS rule,
   coalesce({verdict}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
