@@ -107,19 +107,22 @@ class SecretLedger:
 
         Only what present rule versions found counts. Null contents are empty;
         repeated paths and contents all get their spans. A column of versions
-        called spans gives way.
+        called spans gives way; all others, of whatever names, stay. An empty
+        table, and one before the first scan, has no findings; contents may be
+        of any length.
         """
         present = F.array_intersect("rules", F.array(*(F.lit(r.tag) for r in self.rules)))
         kinds = F.transform(present, lambda t: F.regexp_replace(t, "@[0-9]+$", ""))
         found = self.rows().where(F.size("spans") > 0).select(kinds.alias("kinds"), "blob", F.explode("spans").alias("span")).where(F.expr("array_contains(kinds, span.kind)"))
-        found = found.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("__spans")).withColumnRenamed("blob", "__blob")
+        found = found.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("found"))
         # a content that most versions share meets its findings in SALTS parts
-        found = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = versions.drop("spans").withColumn("__own", blob_of(text))
-        names = [F.col(c) for c in own.columns if c not in (text, "__own")]
-        own = own.withColumn("__salt", F.pmod(F.xxhash64(*(names or [F.lit(0)])), F.lit(SALTS)).cast("int"))
-        out = own.join(found, (F.col("__own") == F.col("__blob")) & (F.col("__salt") == F.col("__part")), "left")
-        return out.withColumn("spans", F.coalesce("__spans", F.expr(f"cast(array() as {SPAN})"))).drop("__own", "__blob", "__spans", "__salt", "__part")
+        found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # rows go as one column, so that no name of theirs meets one of these
+        names = [c for c in versions.columns if c != "spans"]
+        salt = F.pmod(F.xxhash64(*([F.col(c) for c in names if c != text] or [F.lit(0)])), F.lit(SALTS)).cast("int")
+        own = versions.select(F.struct(*names).alias("row"), blob_of(text).alias("own"), salt.alias("salt"))
+        out = own.join(found, (F.col("own") == F.col("blob")) & (F.col("salt") == F.col("part")), "left")
+        return out.select("row.*", F.coalesce("found", F.expr(f"cast(array() as {SPAN})")).alias("spans"))
 
 
 def report(findings: DataFrame) -> DataFrame:
