@@ -30,6 +30,8 @@ SEED = 42
 N_PIVOTS = 8
 #: Fingerprints that may meet in pairs; larger meetings go by near references, exactly.
 PAIRED = 32
+#: Parts of the rows of one fingerprint.
+SALTS = 8
 PIVOTS = tuple(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(N_PIVOTS))
 
 
@@ -133,26 +135,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Fingerprints link at RADIUS or fewer differing bits; component_id is the
     smallest doc_id reachable, null ids aside (null if there is no other).
-    Null and wordless texts have fingerprint zero and link like any other.
+    Null and wordless texts have fingerprint zero and link like any other. Other
+    columns are not read; an empty table gives none.
     """
     rows = written(docs.select("doc_id", fingerprint().alias("fp")), "fingerprint-rows")
     classes = _classes(rows, "doc_id").withColumnRenamed("least", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # a fingerprint that many rows have meets its class in SALTS parts
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(classes, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked texts, with all columns of docs.
 
     It is the row with the smallest doc_id (null ids last), then the smallest
-    hash of the text; of rows equal in both, any one.
+    hash of the text; of rows equal in both, any one. Other columns may have any
+    names; an empty table stays empty.
     """
     key = F.xxhash64("text")
     rows = docs.select("doc_id", key.alias("hash"), fingerprint().alias("fp"))
     rows = written(rows.select("fp", F.col("doc_id").isNull().alias("void"), "doc_id", "hash"), "fingerprint-rows")
-    winners = _classes(rows, "void", "doc_id", "hash").select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash")).distinct()
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__hash")), "left_semi")
+    winners = _classes(rows, "void", "doc_id", "hash").select("least.doc_id", "least.hash").distinct()
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(winners["hash"]), "left_semi")
     twins = rows.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count()
     if twins:  # rows that repeat id and text
-        columns = kept.columns
-        kept = kept.withColumn("__hash", key).groupBy("doc_id", "__hash").agg(*(F.first(c).alias(c) for c in columns if c != "doc_id")).select(*columns)
+        kept = kept.select(F.struct("*").alias("row"), key.alias("hash")).groupBy("row.doc_id", "hash").agg(F.first("row").alias("row")).select("row.*")
     return kept
