@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset, as
-    in tests, a folder of this machine is used.
+    The cluster names that folder in spark.checkpoint.dir, or the program by
+    setCheckpointDir. Where neither is set, as in tests, a local master uses a
+    folder of this machine; others have none that all executors see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chalkline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -157,14 +158,21 @@ def test_empty_tables_of_scans(spark):
     assert pii.find(empty(spark), pii.fit(empty(spark))).count() == 0
 
 
-def test_trees_add_spans_near_the_strict_ones(spark):
+def test_precision_of_added_spans_on_planted_data(spark):
+    """Trees fitted on plain data add disguised spans of other texts, and hardly anything else."""
     rng = random.Random(5)
-    texts = [f"call {rng.choice(['me', 'us'])} at +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} or code {rng.randrange(10**6, 10**8)}" for _ in range(300)]
-    trees = pii.fit(documents(spark, texts))
-    assert trees.trees and trees.threshold >= 0
-    docs = spark.createDataFrame([(1, "call me at +1 (415) 555-0199"), (2, "code 1234567"), (3, "nothing")], "doc_id long, text string")
-    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(docs, trees).collect()}
-    assert got == {1: ["phone"], 2: [], 3: []}
+    number = lambda a, z: str(rng.randrange(a, z))
+    phone = lambda: f"+{number(1, 99)} ({number(200, 999)}) {number(100, 999)}-{number(1000, 9999)}"
+    name = lambda: rng.choice(["ann", "bo.lee", "c_d"]) + number(1, 99)
+    noise = lambda: rng.choice([f"order {number(10**6, 10**8)}", f"on {number(1, 28)}.{number(1, 12)}.{number(1990, 2030)}", f"id {number(10**9, 10**10)}", f"{number(1, 99)} (at) most"])
+    plain = [f"{rng.choice(['call', 'mail', ''])} {rng.choice([phone(), name() + '@mail.example.org'])} or {noise()}, {noise()}" for _ in range(600)]
+    trees = pii.fit(documents(spark, plain))
+    assert trees.thresholds
+    planted = [name() + rng.choice([" (at) mail.example (dot) org", "[at]mail.example.org"]) if i % 2 else phone()[1:] for i in range(200)]
+    docs = spark.createDataFrame([(i, f"{'mail' if i % 2 else 'call'} {p} or {noise()}, {noise()}") for i, p in enumerate(planted)], "doc_id long, text string")
+    added = [(r.doc_id, s.match) for r in pii.find(docs, trees).collect() for s in r.spans if s.kind not in pii.BASE]
+    right = sum(m.strip() in planted[i] or planted[i] in m for i, m in added)
+    assert right >= 0.5 * len(planted) and right >= 0.9 * len(added)
 
 
 # ---- op2
@@ -264,6 +272,26 @@ def test_token_files_with_strings_of_added_tokens(spark):
     assert got == [(s, len(e), zlib.crc32(np.array(e, "<u4").tobytes())) for s, e in zip(starts, expected)]
 
 
+def test_one_lookup_reads_one_slot():
+    n = 20_000
+    data = token_files.index_bytes([None, *(str(i) for i in range(1, n))], [0] * n, list(range(0, 3 * n, 3)), [3] * n)
+
+    class Counted(io.BytesIO):
+        size = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.size += len(out)
+            return out
+
+    f = Counted(data)
+    index = token_files.ShardIndex(f)
+    assert index.find(token_files.key_bytes("777", 0)) == (777 * 3, 3) and index.find(token_files.key_bytes(None, 0)) == (0, 3)
+    assert index.find(token_files.key_bytes("777", 1)) is None and index.find(token_files.key_bytes("", 0)) is None
+    assert f.size < 200
+    assert [token_files.key_parts(k) for k in index.keys()[:2]] == [(None, 0), ("1", 0)]
+
+
 def test_minimal_perfect_hash():
     keys = [b"%d" % i for i in range(5000)]
     _, slots, _ = token_files.build_mph(keys)
@@ -288,6 +316,15 @@ def test_warc(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_warc_with_one_payload_on_a_third_of_all_pages(spark):
+    df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("page "), "id")).alias("html"), F.lit("u").alias("url")).withColumnRenamed("id", "page_id")
+    df = df.unionByName(spark.createDataFrame([("", "empty id"), (None, "no id")], "page_id string, html string").select(F.lit(None).cast("long").alias("page_id"), "html", F.lit("u").alias("url")).limit(1))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived_pages(df).collect()}
+    assert got == {i: ("revisit", 0) if i % 3 == 0 and i else ("response", None) for i in range(600)} | {None: ("response", None)}
+    texts = spark.createDataFrame([("", "one"), (None, "two"), ("x:1", "one")], "page_id string, html string").withColumn("url", F.lit(None).cast("string"))
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.archived_pages(texts).collect()} == {("", "response", None), (None, "response", None), ("x:1", "revisit", "")}
+
+
 def test_records_are_found_by_frame(spark):
     df = spark.createDataFrame([(i, "u", f"page {i} " * 5000) for i in range(60)], "page_id long, url string, html string")
     index = warc.write_archive(df, shared.shared_folder(spark, "warc"))
@@ -310,6 +347,38 @@ def test_bpe_against_tiktoken(spark):
     assert bpe.encode(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    texts = [letters, "é日本" * 3000 + " end", "a" * 1_000_000, "abcd" * 5000 + "!" * 5000, " " + "ab" * 90, "=" * 161, "-" * 20_000 + letters[:500], "12345" * 4000]
+    docs = documents(spark, texts)
+    got = sorted((len(bytes(r.ids)), bytes(r.ids), bytes(r.decoded)) for r in bpe.encode(docs, path, public_tokenizers.PATTERN).collect())
+    assert got == sorted((len(x), x, t.encode()) for t, x in ((t, np.array(own.encode_ordinary(t), "<u4").tobytes()) for t in texts))
+
+
+def test_windows_without_a_common_token(monkeypatch):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+    monkeypatch.setattr(bpe, "STEP_BYTES", 6)
+    rng = random.Random(8)
+    for _ in range(300):
+        data = "".join(rng.choice(["the", "ing", "a", "q", "es", "tion"]) for _ in range(20)).encode()
+        windows = [bpe.merged(data[at : at + 8], ranks) for at in range(0, len(data) - 2, 6)]
+        assert bpe.stitch(windows, pieces, ranks) == own.encode_ordinary(data.decode())
+
+
+def test_bpe_with_another_pattern(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    docs = documents(spark, ["some words, here", " a\n\nb c.d "])
+    got = sorted(bytes(r.ids) for r in bpe.encode(docs, path, r"\S+|\s+").collect())
+    assert got == sorted(np.array(own.encode_ordinary(r.text), "<u4").tobytes() for r in docs.collect())
+
+
 # ---- op7
 
 
@@ -335,6 +404,18 @@ def test_reputation_shrinks_and_blocks(spark):
     assert 0 < got["new.bad.org"].rate < 1 and "x.org" not in got
 
 
+def test_reputation_blocks_hosts_of_the_pages_and_takes_labels(spark):
+    pages = shared.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html")
+    got = url_filter.judge(pages).where("rule is null and verdict = 'block'").select("host").distinct().collect()
+    assert got and all(any(w in r.host for w in url_filter.BAD_WORDS) for r in got)
+    rows = [(i, f"http://{h}/x{i}", "fine words") for i, h in enumerate(["a.farm.org"] * 40 + ["b.farm.org"] + ["good.net"] * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = pages.select("url", F.contains("url", F.lit("farm")).cast("int").alias("bad"))
+    verdicts = {(r.host, r.verdict) for r in url_filter.judge(pages, outcomes=labels).collect()}
+    assert verdicts >= {("a.farm.org", "block"), ("good.net", "allow")}
+    assert {r.verdict for r in url_filter.judge(pages).collect()} == {"allow"}
+
+
 # ---- op8, op9
 
 
