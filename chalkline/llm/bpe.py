@@ -70,14 +70,17 @@ def rank_of(char: Column) -> Column:
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """Two tokens to the token that joins them, as one literal: an array of small maps, found by hash."""
-    slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
+    found: dict[int, dict[str, str]] = {}
     for token, r in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
                 key = char_of(left) + char_of(right)
-                slots[xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS][key] = char_of(r)
-    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
+                found.setdefault(xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS, {})[key] = char_of(r)
+    slots = ["{}"] * SLOTS
+    for i, own in found.items():
+        slots[i] = json.dumps(own, ensure_ascii=False, separators=(",", ":"))
+    return F.from_json(F.lit(f"[{','.join(slots)}]"), "array<map<string,string>>")
 
 
 def let(value: Column, body) -> Column:

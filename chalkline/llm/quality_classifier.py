@@ -97,8 +97,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 60, batch: i
         model = AttentionModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), AttentionModel.initial(rng))
         model.params["c"] *= 0
         return model
-    every = np.concatenate(bags).astype(np.float64)
-    model = AttentionModel(every.mean(0), every.std(0) + 0.02, AttentionModel.initial(rng))
+    n = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / n)
+    model = AttentionModel(mean, spread + 0.02, AttentionModel.initial(rng))
     p, moments, step = model.params, {}, 0
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
@@ -124,20 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", limit: int
     all count. Null texts are empty ones.
     """
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("binary")
     def flat(text: pa.Array) -> pa.Array:
         out = []
         for x in text:
             f = passage_features(x.as_py())
-            out.append(f[np.unique(np.linspace(0, len(f) - 1, FIT_PASSAGES).astype(int))].ravel())
-        return pa.array(out, pa.list_(pa.float32()))
+            out.append(f[np.unique(np.linspace(0, len(f) - 1, FIT_PASSAGES).astype(int))].tobytes())
+        return pa.array(out, pa.binary())
 
     chosen = F.broadcast(bounded_labels(labels, column, limit))
     sample = docs.select("doc_id", text_bytes().alias("text")).join(chosen, "doc_id")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
-    rows = sample.select("label", flat("text").alias("x")).toPandas()
-    bags = [np.asarray(x, np.float32).reshape(-1, N_FEATURES) for x in rows["x"]]
-    return train(bags, rows["label"].to_numpy(np.float64))
+    rows = sample.select("label", flat("text").alias("x")).toArrow()
+    bags = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, N_FEATURES) for x in rows.column("x")]
+    return train(bags, rows.column("label").to_numpy().astype(np.float64))
 
 
 def score(model: AttentionModel, text: Column) -> Column:
