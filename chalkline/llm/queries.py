@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter, warc
+from . import bpe, centroids, decontamination, divergence, mixing, pii, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter, warc
 from .shared import fold_of, shared_folder, table
 
 
@@ -66,9 +66,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.copies(table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_secret_scan, op2_simhash, op3_pii, op4_token_files, op5_warc, op6_bpe, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_decontamination,
+    op11_source_mix, op12_source_divergence, op13_centroid_clusters,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_token_files, op5_warc, op6_bpe, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.SQL}
+    return {"op7_url_filter": url_filter.SQL, "op12_source_divergence": divergence.SQL, "op13_centroid_clusters": centroids.SQL}

@@ -39,6 +39,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small side that may be broadcast, and the parts of the large side beyond that.
+BROADCAST_ROWS, SPREAD = 20_000, 64
+
+
+def joined_small(rows: DataFrame, params: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of params, which has one row for each value of keys (nulls are values).
+
+    params is counted: up to `most` rows are broadcast; of more, a hot key meets
+    its row in SPREAD parts. Rows without params go.
+    """
+    kept = [c for c in params.columns if c not in keys]
+    few = params.count() <= most
+    if few:
+        a, b = rows.alias("a"), F.broadcast(params.alias("b"))
+        same = F.lit(True)
+    else:
+        a = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")).alias("a")
+        b = params.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("b")
+        same = F.col("a.__part") == F.col("b.__part")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same).select(*(F.col(f"a.{c}") for c in rows.columns), *(F.col(f"b.{c}") for c in kept))
+
+
 def text_bytes(name: str = "text") -> Column:
     """The whole text as bytes; null is empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
