@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import numbers, questions, text
 from ..operators import context, documents, memory, validation, vectors
 from ..operators.rules import has_severity
+from ..sources.staging import staged
 
 Embedder = Callable[[Column], Column]
 INDEX_ORDER = ("index_theory", "index_calculations", "index_qa")
@@ -64,7 +65,7 @@ def retrieve(
     (pre), merged, each chunk once, cut to k and ranked.
     """
     asked = requests.withColumn("indexes", F.array(F.lit(force_index)) if force_index else text.route_indexes(F.col("query")))
-    asked = asked.withColumn("embedding", embedder(text.augment_query(F.col("query"))))
+    asked = staged(asked.select("query_id", "indexes", embedder(text.augment_query(F.col("query"))).alias("embedding")), "questions")
     wanted = F.lit(True)
     for c in (filters or {}).values():
         wanted = wanted & c
