@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .text import contains_any, distinct_hits
+from .matcher import Lexicon
 
 HIGH, MEDIUM = 0.70, 0.45
 
@@ -33,7 +33,7 @@ def plausible_formulas(text: Column) -> Column:
 
 def malformed(text: Column) -> Column:
     def unequal(a: str, b: str) -> Column:
-        return F.regexp_count(text, F.lit(f"\\{a}")) != F.regexp_count(text, F.lit(f"\\{b}"))
+        return F.length(F.replace(text, F.lit(a), F.lit(""))) != F.length(F.replace(text, F.lit(b), F.lit("")))
 
     out = unequal("(", ")") | unequal("[", "]")
     for p in DAMAGED:
@@ -41,24 +41,33 @@ def malformed(text: Column) -> Column:
     return out
 
 
+LOW, UPPER = Lexicon([*L.MALAY_CHEMISTRY, *L.ENGLISH_CHEMISTRY, *L.CALCULATION_WORDS]), Lexicon(L.STRUCTURE_MARKERS)
+
+
+def step(count: Column, *values: float) -> Column:
+    """The value of a count: the first for 0, the last for as many or more; evaluates the count once."""
+    return F.element_at(F.array(*map(F.lit, values)), F.greatest(F.least(count, F.lit(len(values) - 1)), F.lit(0)).cast("int") + 1)
+
+
 def signals(text: Column, source: Column) -> dict[str, Column]:
     """Each signal and what it adds to the base of 0.5. The steps and what each adds."""
-    low, n = F.lower(text), F.length(text)
+    n = F.length(text)
+    low, upper = LOW.hits(F.lower(text)), UPPER.hits(F.upper(text))
     garbage = sum((text.rlike("(?d)" + p).cast("int") for p in GARBAGE), F.lit(0))
-    markers = distinct_hits(F.upper(text), L.STRUCTURE_MARKERS)
-    words = F.greatest(distinct_hits(low, L.MALAY_CHEMISTRY), distinct_hits(low, L.ENGLISH_CHEMISTRY))
+    markers = UPPER.count_of(upper, L.STRUCTURE_MARKERS)
+    words = F.greatest(LOW.count_of(low, L.MALAY_CHEMISTRY), LOW.count_of(low, L.ENGLISH_CHEMISTRY))
     formulas, measures = F.size(plausible_formulas(text)), F.regexp_count(text, F.lit(MEASURE))
     return {
         "source": F.when(source == "local_ocr", -0.10).otherwise(0.0),
-        "garbage": F.when(garbage >= 2, -0.30).when(garbage == 1, -0.15).otherwise(0.0),
+        "garbage": step(garbage, 0.0, -0.15, -0.30),
         "length": F.when(n < 10, -0.15).when(n < 20, -0.05).when(n <= 500, 0.05).when(n > 1500, -0.05).otherwise(0.0),
-        "structure": F.when(markers >= 3, 0.10).when(markers >= 1, 0.05).otherwise(0.0),
-        "words": F.when(words >= 3, 0.15).when(words >= 1, 0.08).otherwise(-0.10),
-        "formulas": F.when(formulas >= 2, 0.10).when(formulas == 1, 0.05).otherwise(0.0),
+        "structure": step(markers, 0.0, 0.05, 0.05, 0.10),
+        "words": step(words, -0.10, 0.08, 0.08, 0.15),
+        "formulas": step(formulas, 0.0, 0.05, 0.10),
         "malformed": F.when(malformed(text), -0.20).otherwise(0.0),
-        "measures": F.when(measures >= 2, 0.10).when(measures == 1, 0.05).otherwise(0.0),
+        "measures": step(measures, 0.0, 0.05, 0.10),
         "equation": F.when(text.rlike(r"(?d).{2}\s*->\s*.{2}"), 0.08).otherwise(0.0),
-        "calculation": F.when(contains_any(low, L.CALCULATION_WORDS), 0.05).otherwise(0.0),
+        "calculation": F.when(LOW.any_of(low, L.CALCULATION_WORDS), 0.05).otherwise(0.0),
     }
 
 
