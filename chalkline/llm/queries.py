@@ -44,7 +44,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    least = url_filter.fit_outcome(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, url_filter.page_outcomes(pages, least))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@
 Explicit rules decide first. Other pages follow the reputation of their host:
 the rate of bad pages, shrunk through beta-binomial priors from host to
 registered domain to suffix to all pages. A host is blocked when the lower
-bound of its posterior rate reaches BLOCK_AT. Outcomes of pages are given by the
-caller; where nobody has labelled pages, page_outcome() stands in.
+bound of its posterior rate, a quantile of the beta distribution, reaches
+BLOCK_AT. Outcomes of pages are given by the caller. Where nobody has labelled
+pages, but documents are labelled, fit_outcome() learns from these how much junk
+a bad text has, and page_outcomes() holds the visible text of pages against it;
+the names of hosts play no part.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "
 Z, BLOCK_AT = 1.645, 0.3
 #: Prior weights, in pages, that an estimate is held between.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 200.0
-#: A page is bad if so many of its words, or more, are junk or shouted, or if its host has one of these words.
-BAD_SHARE = 0.1
-BAD_WORDS = ("ads", "adult", "bet", "casino", "porn", "spam", "viagra", "xxx")
-HOST_WORDS = f"(^|[^a-z0-9])({'|'.join(BAD_WORDS)})([^a-z0-9]|$)"
+#: Characters that count as junk, and what of a page is not visible text.
+JUNK = "[#*$%&|<>]"
+MARKUP = "<script[^>]*>[^<]*|<style[^>]*>[^<]*|<[^>]*>"
 SALTS = 16
 LEVELS = ("suffix", "domain", "host")
 
@@ -51,11 +53,47 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return name, verdict
 
 
-def page_outcome(host: Column, html: Column) -> Column:
-    """A stand-in for labels: 1 bad, 0 good by the host's words and the text; null without a text and such a word."""
-    junk = F.regexp_count(html, F.lit(r"[#*$%]{3}|&amp;&amp;&amp;|!!"))
-    blanks = F.length(html) - F.length(F.replace(html, F.lit(" "), F.lit("")))
-    return F.when(host.rlike(HOST_WORDS), 1).otherwise((junk >= BAD_SHARE * (blanks + 1)).cast("int"))
+def junk_share(text: Column) -> Column:
+    """Junk characters in a thousand, rounded down; null for a null text."""
+    return F.floor(F.regexp_count(text, F.lit(JUNK)) * 1000 / F.greatest(F.length(text), F.lit(1))).cast("int")
+
+
+def fit_outcome(docs: DataFrame, labels: DataFrame, column: str = "quality") -> int:
+    """The junk share from which on a text counts as bad, by labelled documents (label 0 is bad).
+
+    It is the one with the best balanced accuracy, the largest of equal ones; a
+    share that no text has (1001) without labels of both kinds. Documents with a
+    null text do not count; of conflicting labels of an id the smaller counts.
+    At most 1001 counts come to the driver.
+    """
+    own = labels.groupBy(F.col("doc_id").alias("doc_id")).agg(F.min(column).alias("label")).where("label is not null")
+    texts = docs.select(F.col("doc_id").alias("doc_id"), junk_share(F.col("text")).alias("share")).where("share is not null")
+    rows = texts.join(own, "doc_id").groupBy("share").agg(F.sum((F.col("label") == 0).cast("long")).alias("bad"), F.count("*").alias("n")).collect()
+    bad, good = sum(r.bad for r in rows), sum(r.n - r.bad for r in rows)
+    if not bad or not good:
+        return 1001
+    right = lambda t: sum(r.bad for r in rows if r.share >= t) * good + sum(r.n - r.bad for r in rows if r.share < t) * bad
+    return max(range(1, 1002), key=lambda t: (right(t), t))
+
+
+def page_outcomes(pages: DataFrame, least: int) -> DataFrame:
+    """url and bad (1 or 0; null for a page without html) by the junk share of the visible text."""
+    visible = F.regexp_replace("html", MARKUP, " ")
+    return pages.select("url", (junk_share(visible) >= least).cast("int").alias("bad"))
+
+
+def beta_bound(a: Column, b: Column) -> Column:
+    """About the 5 % quantile of the beta distribution with a and b (Abramowitz and Stegun 26.5.22).
+
+    Within 0.01 for a + b of 3 or more, as there are with a prior and a page.
+    It is 0 where a is 0.5 or less, and where b is below 1.5 that of 1.5, which
+    is lower.
+    """
+    b = F.greatest(b, F.lit(1.5))
+    x, y = 1 / (2 * F.greatest(a, F.lit(0.5001)) - 1), 1 / (2 * b - 1)
+    h, bend = 2 / (x + y), (Z * Z - 3) / 6
+    w = Z * F.sqrt(h + bend) / h - (y - x) * (bend + 5 / 6 - 2 / (3 * h))
+    return F.when((a <= 0.5) | (h + bend <= 0), 0.0).otherwise(a / (a + b * F.exp(2 * w)))
 
 
 def suffix_of(host: Column) -> Column:
@@ -77,7 +115,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     A member's prior has the rate of its parent as mean and a weight by the
     method of moments of the beta-binomial distribution: how much the level's
     members vary about their parents, beyond what their counts explain. The
-    bound is that of the normal distribution with the posterior's moments.
+    bound is the 5 % quantile of the posterior, see beta_bound().
     """
     hosts = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = written(hosts, "host-outcomes")  # one pass over the pages serves every level
@@ -106,21 +144,22 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.join(by_domain, "domain")
     k = weight(hosts)
     hosts = hosts.withColumn("rate", shrunk(hosts, k))
-    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k + 1))
-    return hosts.withColumn("bound", F.col("rate") - Z * spread).select("host", "n", "bad", "rate", "bound")
+    weight_of = F.col("n") + k
+    return hosts.withColumn("bound", beta_bound(F.col("rate") * weight_of, (1 - F.col("rate")) * weight_of)).select("host", "n", "bad", "rate", "bound")
 
 
-def judge(pages: DataFrame, rules=RULES, block_at: float = BLOCK_AT, outcomes: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_at: float = BLOCK_AT) -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each page, repeated and null ids too.
 
-    outcomes (url, bad: 1 or 0) are labelled pages, which need not be among
-    pages; without them page_outcome() labels the pages. Pages of unknown or
-    empty hosts are allowed unless a rule blocks them. Rows meet the blocked
-    hosts by host and a salt, so one host may hold most pages. An empty table
-    gives none; other columns are not read.
+    outcomes (url, bad: 1, 0 or null for unknown) are labelled pages, which need
+    not be among pages. Pages of unknown or empty hosts are allowed unless a
+    rule blocks them. Urls may be of any length; of fitting rules the longest
+    wins, of equally long ones the later. Rows meet the blocked hosts by host
+    and a salt, so one host may hold most pages. An empty table gives none;
+    other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
-    own = pages.select(host.alias("host"), "html").select("host", page_outcome(F.col("host"), F.col("html")).alias("bad")) if outcomes is None else outcomes.select(host.alias("host"), "bad")
+    own = outcomes.select(host.alias("host"), "bad")
     known = reputations(own)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     blocked = known.where(F.col("bound") >= block_at).select(F.col("host").alias("bad_host"), salts.alias("bad_salt"))
@@ -140,6 +179,9 @@ def _sql_reputation() -> str:
     rule = "CASE\n" + fits.format(*(h + p for _, h, p in ordered)) + " END"
     verdict = "CASE\n" + fits.format(*(v for v, _, _ in ordered)) + " END"
 
+    def share(text: str) -> str:
+        return f"floor(len(regexp_extract_all({text}, '{JUNK}')) * 1000 / greatest(length({text}), 1))"
+
     def weight(level: str) -> str:
         """Of a table with n, bad and prior."""
         noise = "prior * (1 - prior)"
@@ -152,10 +194,17 @@ WITH parted AS (
 own AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parted),
+labelled AS (
+  SELECT {share("text")} AS share, label FROM documents
+  JOIN (SELECT doc_id, min(quality) AS label FROM labels GROUP BY doc_id HAVING min(quality) IS NOT NULL) USING (doc_id) WHERE text IS NOT NULL),
+sizes AS (SELECT count(*) FILTER (label = 0) AS n_bad, count(*) FILTER (label <> 0) AS n_good FROM labelled),
+least AS (
+  SELECT coalesce(arg_max(t, (found, t)), 1001) AS least FROM (
+    SELECT t, any_value(n_good) * count(*) FILTER (label = 0 AND share >= t) + any_value(n_bad) * count(*) FILTER (label <> 0 AND share < t) AS found
+    FROM range(1, 1002) AS r(t), labelled, sizes WHERE n_bad > 0 AND n_good > 0 GROUP BY t)),
 outcomes AS (
-  SELECT host, CASE WHEN regexp_matches(host, '{HOST_WORDS}') THEN 1
-    WHEN len(regexp_extract_all(html, '[#*$%]{{3}}|&amp;&amp;&amp;|!!')) >= {BAD_SHARE} * (length(html) - length(replace(html, ' ', '')) + 1) THEN 1 WHEN html IS NOT NULL THEN 0 END AS bad
-  FROM own WHERE host <> ''),
+  SELECT host, CASE WHEN visible IS NOT NULL THEN ({share("visible")} >= least)::INTEGER END AS bad
+  FROM (SELECT host, regexp_replace(html, '{MARKUP}', ' ', 'g') AS visible FROM own WHERE host <> ''), least),
 hosts0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM outcomes WHERE bad IS NOT NULL GROUP BY host),
 hosts1 AS (SELECT *, {bare} AS bare, regexp_extract({bare}, '([^.]+\\.[^.]+)$', 1) AS two FROM hosts0),
 hosts2 AS (SELECT *, CASE WHEN two IN ({two}) THEN two ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix FROM hosts1),
@@ -170,8 +219,12 @@ domains AS (SELECT d.*, (s.bad + k * s.prior) / (s.n + k) AS prior FROM domains0
 kd AS (SELECT {weight("domains")} AS k),
 priors AS (SELECT h.*, (d.bad + k * d.prior) / (d.n + k) AS prior FROM hosts h JOIN domains d USING (domain), kd),
 kh AS (SELECT {weight("priors")} AS k),
-by_host AS (SELECT host, n, k AS kh, (bad + k * prior) / (n + k) AS rate FROM priors, kh),
-blocked AS (SELECT host FROM by_host WHERE rate - {Z} * sqrt(rate * (1 - rate) / (n + kh + 1)) >= {BLOCK_AT})
+by_host AS (SELECT host, bad + k * prior AS a, greatest(n - bad + k * (1 - prior), 1.5) AS b FROM priors, kh),
+halves AS (SELECT *, 1 / (2 * greatest(a, 0.5001) - 1) AS x, 1 / (2 * b - 1) AS y, {(Z * Z - 3) / 6} AS bend FROM by_host),
+bounds AS (SELECT *, 2 / (x + y) AS h FROM halves),
+blocked AS (
+  SELECT host FROM bounds WHERE a > 0.5 AND h + bend > 0
+  AND a / (a + b * exp(2 * ({Z} * sqrt(greatest(h + bend, 0)) / h - (y - x) * (bend + 5.0 / 6 - 2 / (3 * h))))) >= {BLOCK_AT})
 SELECT page_id, host, path, {rule} AS rule,
   coalesce({verdict}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM own"""

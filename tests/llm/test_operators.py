@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -359,6 +360,23 @@ def test_bpe_of_long_words(spark):
     assert got == sorted((len(x), x, t.encode()) for t, x in ((t, np.array(own.encode_ordinary(t), "<u4").tobytes()) for t in texts))
 
 
+def test_a_megabyte_word_is_folded_in_seconds(spark):
+    """Runs that long tokens cover, whose windows have no token in common."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    mixed = "".join(rng.choice(["ÃÂ" * 9, "Â", "é", "qz", "Ã"]) for _ in range(40_000))
+    words = ["ÃÂ" * 250_000, mixed]
+    for w in ["-" * 1_000_000, "=" * 1_000_000, *words]:
+        began = time.time()
+        assert bpe.merged(w.encode(), ranks) == own.encode_ordinary(w)
+        assert time.time() - began < 20
+    docs = documents(spark, words)
+    got = sorted(bytes(r.ids) for r in bpe.encode(docs, path, public_tokenizers.PATTERN).collect())
+    assert got == sorted(np.array(own.encode_ordinary(w), "<u4").tobytes() for w in words)
+
+
 def test_windows_without_a_common_token(monkeypatch):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -388,13 +406,13 @@ def test_urls(spark):
         (9, "a://b://c/d"), (None, "http://badexample.com/en/"),
     ]
     pages = spark.createDataFrame([(*r, "fine words") for r in rows], "page_id long, url string, html string")
-    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()), key=repr)
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.page_outcomes(pages, 80)).collect()), key=repr)
     assert got == sorted([
         (1, "example.com", "/en/x", "example.com/en/", "block"), (2, "www.example.com", "/en/", "www.example.com/en/", "allow"), (3, "a.example.com", "/EN/", "com/", "allow"), (4, "x.net", "/es/", "net/es/", "block"),
         (5, "x.net", "/fr", None, "allow"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "com", "", None, "allow"), (9, "É.com", "/a", "com/", "allow"), (9, "b:", "//c/d", None, "allow"),
         (None, "badexample.com", "/en/", "com/", "allow"),
     ], key=repr)
-    assert url_filter.judge(pages.limit(0)).count() == 0
+    assert url_filter.judge(pages.limit(0), url_filter.page_outcomes(pages.limit(0), 80)).count() == 0
 
 
 def test_reputation_shrinks_and_blocks(spark):
@@ -404,16 +422,33 @@ def test_reputation_shrinks_and_blocks(spark):
     assert 0 < got["new.bad.org"].rate < 1 and "x.org" not in got
 
 
-def test_reputation_blocks_hosts_of_the_pages_and_takes_labels(spark):
-    pages = shared.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html")
-    got = url_filter.judge(pages).where("rule is null and verdict = 'block'").select("host").distinct().collect()
-    assert got and all(any(w in r.host for w in url_filter.BAD_WORDS) for r in got)
-    rows = [(i, f"http://{h}/x{i}", "fine words") for i, h in enumerate(["a.farm.org"] * 40 + ["b.farm.org"] + ["good.net"] * 40)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    labels = pages.select("url", F.contains("url", F.lit("farm")).cast("int").alias("bad"))
-    verdicts = {(r.host, r.verdict) for r in url_filter.judge(pages, outcomes=labels).collect()}
-    assert verdicts >= {("a.farm.org", "block"), ("good.net", "allow")}
-    assert {r.verdict for r in url_filter.judge(pages).collect()} == {"allow"}
+def test_reputation_blocks_planted_hosts_and_takes_labels(spark):
+    """Good and bad hosts share a suffix; outcomes are learned from labelled documents, not from names."""
+    rng = random.Random(7)
+    text = lambda bad: " ".join(rng.choice(["fine", "words", "here", "now"]) + ("##*" if bad and rng.random() < 0.8 else "") for _ in range(60))
+    docs = spark.createDataFrame([(i, text(i % 3 == 0)) for i in range(90)] + [(200, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(90)] + [(91, None), (200, 0)], "doc_id long, quality int")
+    least = url_filter.fit_outcome(docs, labels)
+    assert 0 < least < 1001 and url_filter.fit_outcome(docs, labels.limit(0)) == 1001
+    hosts = {"one.farm.co.uk": 0.9, "two.farm.co.uk": 0.8, "casino.press.co.uk": 0.0, "paper.co.uk": 0.05, "good.org": 0.02, "x.org": 0.0}
+    rows = [(f"http://{h}/p{i}", f"<p>{text(rng.random() < rate)}</p><script>a<b &&&&&&&&</script>") for h, rate in hosts.items() for i in range(60)] + [("http://new.farm.co.uk/", None), ("http://x.org/", "")]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    outcomes = url_filter.page_outcomes(pages, least)
+    blocked = {r.host for r in url_filter.judge(pages, outcomes).where("verdict = 'block'").select("host").distinct().collect()}
+    assert blocked == {"one.farm.co.uk", "two.farm.co.uk"}
+    given = pages.select("url", F.contains("url", F.lit("press")).cast("int").alias("bad"))
+    blocked = {r.host for r in url_filter.judge(pages, given).where("verdict = 'block'").select("host").distinct().collect()}
+    assert blocked == {"casino.press.co.uk"}
+
+
+def test_beta_bound_is_near_the_quantile(spark):
+    rows = [(a, b) for a in (0.7, 1.5, 4.0, 30.0, 200.0) for b in (1.5, 3.0, 25.0, 400.0) if a + b >= 3]
+    got = spark.createDataFrame(rows, "a double, b double").select("a", "b", url_filter.beta_bound(F.col("a"), F.col("b")).alias("q")).collect()
+    x = (np.arange(200_000) + 0.5) / 200_000
+    for r in got:
+        logs = (r.a - 1) * np.log(x) + (r.b - 1) * np.log1p(-x)
+        mass = np.cumsum(np.exp(logs - logs.max()))
+        assert abs(r.q - x[np.searchsorted(mass, 0.05 * mass[-1])]) < 0.0101, r
 
 
 # ---- op8, op9
