@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.memory import upsert
+from .store import KeyedStore
 
 
 def write_index(chunks: DataFrame, path: str, index: str = "index_name") -> None:
@@ -37,17 +37,11 @@ def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upsert_batches(path: str, key: str, at: str):
-    """A foreachBatch function that keeps the latest row of each key, in a new version of the table for each batch.
-
-    A batch whose predecessor has no version fails: going on would lose its rows.
-    """
+def upsert_batches(path: str, key: str, at: str, name: str = "stream", **options):
+    """A foreachBatch function that keeps the latest row of each key in a KeyedStore; a repeated batch changes nothing."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = spark.read.parquet(f"{path}/current={number - 1}") if number else batch.limit(0)
-        merged = upsert(last, batch, key, at)
-        merged.write.mode("overwrite").parquet(f"{path}/current={number}")
+        KeyedStore(batch.sparkSession, path, key, at, **options).batches(name)(batch, number)
 
     return run
 
