@@ -583,3 +583,29 @@ def q53_validate_records(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 5 - 200).alias("mass_g"), (F.col("l_discount") * 200).alias("ph"))
     return li.select("l_orderkey", "l_linenumber", F.size(R.issues(validation.range_rules(["mass_g", "ph"]))).alias("n_issues"))
 
+
+
+@query("""WITH r AS (
+  SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS request, epoch_us(ts) AS us, event_type IN ('signup', 'view') AS s, event_type = 'purchase' AS e FROM events),
+t AS (SELECT request, min(us) FILTER (s) AS started, max(us) FILTER (e) AS ended, count(*) FILTER (NOT s AND NOT e) AS n_steps, max(us) AS newest FROM r GROUP BY request),
+u AS (SELECT *, CASE WHEN started IS NULL THEN 'orphan' WHEN ended >= started THEN 'done' WHEN (SELECT max(us) FROM r) - newest > 86400000000 THEN 'timeout' ELSE 'open' END AS status FROM t)
+SELECT request, started, ended, n_steps, CASE WHEN status = 'done' THEN ended - started END AS elapsed, status FROM u""")
+def q55_request_traces(spark, sf_dir):
+    from ..operators import traces
+
+    log = _events(spark, sf_dir).select(F.concat_ws("/", "user_id", F.date_format(F.col("ts"), "yyyy-MM-dd")).alias("request"), "us", "event_type")
+    return traces.traces(log, ["signup", "view"], ["purchase"], DAY)
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, count(*) AS n FROM events GROUP BY user_id")
+def q56_store_latest(spark, sf_dir):
+    """All events, upserted into a keyed store in four batches of which one comes twice, then read."""
+    from ..sources.staging import shared_folder
+    from ..sources.store import KeyedStore
+
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.lit(1).cast("bigint").alias("n"))
+    store = KeyedStore(spark, shared_folder(spark, "store"), "user_id", "event_id", sums=["n"])
+    for number, part in enumerate([2, 0, 3, 1]):
+        for _ in range(1 + (part == 3)):
+            store.upsert(rows.where(F.pmod("event_id", F.lit(4)) == part), batch=("events", number))
+    return store.read().select("user_id", "event_id", "event_type", "value", "n")
