@@ -18,6 +18,7 @@ import base64
 import io
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -69,18 +70,27 @@ def rank_of(char: Column) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Two tokens to the token that joins them, as one literal: an array of small maps, found by hash."""
-    found: dict[int, dict[str, str]] = {}
+    """Two tokens to the token that joins them, as one literal: an array of SLOTS strings, found by hash.
+
+    A string is the mark for no token, then its pairs: a mark, the two tokens and
+    the one that joins them. What stands after mark and pair, or else at the
+    start, is what the pair becomes.
+    """
+    _, none, mark = marks_beyond(ranks)
+    slots = [none] * SLOTS
     for token, r in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
                 key = char_of(left) + char_of(right)
-                found.setdefault(xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS, {})[key] = char_of(r)
-    slots = ["{}"] * SLOTS
-    for i, own in found.items():
-        slots[i] = json.dumps(own, ensure_ascii=False, separators=(",", ":"))
-    return F.from_json(F.lit(f"[{','.join(slots)}]"), "array<map<string,string>>")
+                slots[xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS] += mark + key + char_of(r)
+    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False, separators=(",", ":"))), "array<string>")
+
+
+def marks_beyond(ranks: dict[bytes, int]) -> list[str]:
+    """Characters that are no token: for the sides of a word, for no token and before a pair."""
+    most = max(ranks.values(), default=0)
+    return [char_of(most + i) for i in (1, 2, 3)]
 
 
 def let(value: Column, body) -> Column:
@@ -94,8 +104,7 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     A word in the making is a string of its tokens between two marks, beside the
     string of what each two neighbours would become.
     """
-    most = max(ranks.values(), default=0)
-    side, none = char_of(most + 1), char_of(most + 2)
+    side, none, mark = marks_beyond(ranks)
     latin = "".join(map(chr, range(256)))
     single = "".join(char_of(ranks[bytes([i])]) for i in range(256))
     #: Tokens that no merges lead to; a word that is one of them is that token all the same.
@@ -103,7 +112,8 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
 
     def all_words(table: Column) -> Column:
         def become(pair: Column) -> Column:
-            return F.coalesce(F.try_element_at(table[F.xxhash64(pair).bitwiseAND(F.lit(SLOTS - 1)).cast("int")], pair), F.lit(none))
+            own = table[F.xxhash64(pair).bitwiseAND(F.lit(SLOTS - 1)).cast("int")]
+            return F.substring(F.call_function("substring_index", own, F.concat(F.lit(mark), pair), F.lit(-1)), 1, 1)
 
         def merge(acc: Column, _) -> Column:
             """Joins the leftmost pair of the least rank; only what is beside it changes."""
@@ -228,14 +238,32 @@ def _parts(data: bytes, ends: np.ndarray) -> list[bytes]:
 
 
 def merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold over a short run of bytes, for windows that have no token in common."""
-    parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        r, i = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if r == NONE:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[x] for x in parts]
+    """The same fold over a run of bytes of any length, with a heap of what may be joined; n log n steps."""
+    n = len(data)
+    parts = [data[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair_rank = [ranks.get(data[i : i + 2], NONE) for i in range(n - 1)] + [NONE]
+    heap = [r << 40 | i for i, r in enumerate(pair_rank) if r != NONE]
+    heapify(heap)
+    while heap:
+        top = heappop(heap)
+        r, i = top >> 40, top & ((1 << 40) - 1)
+        if pair_rank[i] != r:
+            continue  # one side of it has been joined otherwise
+        j = after[i]
+        parts[i] += parts[j]
+        parts[j] = b""
+        pair_rank[j] = NONE
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for left in (before[i], i):
+            if left >= 0:
+                right = after[left]
+                new = pair_rank[left] = ranks.get(parts[left] + parts[right], NONE) if right < n else NONE
+                if new != NONE:
+                    heappush(heap, new << 40 | left)
+    return [ranks[x] for x in parts if x]
 
 
 def _placed(ids: list[int], at: int, pieces: list[bytes]) -> list[tuple[int, int, int]]:
@@ -262,25 +290,16 @@ def _joined(known: list[tuple[int, int, int]], more: list[tuple[int, int, int]])
 def stitch(windows: list[list[int]], pieces: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     """The ids of a long word from those of its windows.
 
-    Windows without a common token are folded again as one, with twice the
-    bytes before them each time, the whole word in the end.
+    Where two windows have no token in common, as in runs that very long tokens
+    cover, the whole word is folded anew.
     """
     known = _placed(windows[0], 0, pieces)
     for k, ids in enumerate(windows[1:], 1):
-        at, more = k * STEP_BYTES, b"".join(map(pieces.__getitem__, ids))
-        if _joined(known, _placed(ids, at, pieces)):
-            continue
-        before = b"".join(pieces[i] for _, _, i in known)
-        width = STEP_BYTES
-        while True:
-            first = max(0, at - width)
-            again = _placed(merged(before[first:at] + more, ranks), first, pieces)
-            if first == 0:
-                known = again
-                break
-            if _joined(known, again):
-                break
-            width *= 2
+        if not _joined(known, _placed(ids, k * STEP_BYTES, pieces)):
+            whole = bytearray()
+            for i, w in enumerate(windows):
+                whole += b"".join(map(pieces.__getitem__, w))[len(whole) - i * STEP_BYTES :]
+            return merged(bytes(whole), ranks)
     return [i for _, _, i in known]
 
 
@@ -308,6 +327,7 @@ def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame
     schema = f"keys array<{ids_kind.simpleString()}>, ends binary, numbers binary, words array<binary>, anew boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker may have served other operators before
         own, anew, keys, held, size = Words(pattern, _seed_numbers(seed) if seed else {}), True, [], [], 0
 
         def block():
@@ -394,6 +414,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_
     arrow_kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
             pieces[r] = token
