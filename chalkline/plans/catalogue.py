@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -609,3 +610,18 @@ def q56_store_latest(spark, sf_dir):
         for _ in range(1 + (part == 3)):
             store.upsert(rows.where(F.pmod("event_id", F.lit(4)) == part), batch=("events", number))
     return store.read().select("user_id", "event_id", "event_type", "value", "n")
+
+
+@query("""WITH k AS (SELECT event_id, value, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
+s AS (SELECT CASE WHEN event_type = 'error' THEN 'error event' WHEN value < 1 THEN 'small value' WHEN k % 10 = 0 THEN 'ZeroDivisionError' END AS reason FROM k)
+SELECT CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason, count(*) AS n FROM s GROUP BY ALL""")
+def q57_errors_by_reason(spark, sf_dir):
+    """Events through checks and a function that fails for some; every row has a status and a reason."""
+    from ..operators import isolation
+
+    def share(row: dict) -> dict:
+        return {"share": row["value"] / (json.loads(row["props"])["k"] % 10)}
+
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    checked = isolation.checked(rows, {"error event": F.col("event_type") == "error", "small value": F.col("value") < 1})
+    return isolation.by_reason(isolation.attempted(checked, share, "share double"))
