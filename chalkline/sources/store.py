@@ -154,6 +154,21 @@ class KeyedStore:
             out.append(self._merged(merged).select(*schema.names))
         return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], schema)
 
+    def get(self, keys: Sequence, version: int | None = None) -> DataFrame:
+        """The rows of some keys (a stated list; None is the null key). Only the buckets that these keys fall into are read."""
+        manifest = self.manifest(version)
+        if manifest["schema"] is None:
+            raise ValueError(f"nothing has been written to {self.path}")
+        schema = T.StructType.fromJson(manifest["schema"])
+        asked = self.spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField("k", schema[self.key].dataType)]))
+        buckets = sorted({r[0] for r in asked.select(F.pmod(F.xxhash64("k"), F.lit(self.buckets))).collect()})
+        one = F.col(self.key).isin([k for k in keys if k is not None])
+        one = one | F.col(self.key).isNull() if None in keys else one
+        rows = self._read(manifest["parts"], schema, buckets)
+        if rows is None:
+            return self.spark.createDataFrame([], schema)
+        return self._merged(rows.where(one)).select(*schema.names)
+
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """Rows written after version `since`, as they were written, with SEQ (their version) and GONE for removals.
 

@@ -103,3 +103,17 @@ def test_a_stream_of_batches(spark, tmp_path):
     stream.writeStream.foreachBatch(tables.upsert_batches(path, "k", "at")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     got = content(S.KeyedStore(spark, path, "k", "at").read())
     assert got == [("a", 2, "v2", 1), ("k0", 0, "x", 1), ("k1", 1, "x", 1), ("k2", 2, "x", 1)]
+
+
+def test_reads_prune_buckets_and_push_filters(spark, tmp_path):
+    own = S.KeyedStore(spark, str(tmp_path / "s"), "k", "at", buckets=16)
+    own.upsert(spark.range(400).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(1).alias("at"), F.concat(F.lit("v"), F.col("id") % 3).alias("v"), F.col("id").cast("int").alias("hits")))
+    own.upsert(rows_of(spark, [("k7", 2, "new", 1), (None, 1, "null key", 0)]))
+    found = own.get(["k7", "k300", "missing", None])
+    assert content(found) == [("k300", 1, "v0", 300), ("k7", 2, "new", 1), (None, 1, "null key", 0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "__bucket#" in plan and "PushedFilters: [Or(In(k, [" in plan and "IsNull(k)" in plan
+    newest = own.read().where("hits >= 390 and v = 'v0'").orderBy(F.desc("hits")).limit(2)
+    assert [r.hits for r in newest.collect()] == [399, 396]
+    scans = own.read().where("hits >= 390")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(hits,390)" in scans  # buckets without changes filter in the scan
