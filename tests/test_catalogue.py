@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from chalkline.plans import catalogue
+from chalkline.plans import catalogue, catalogue_rules  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
