@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..lexicons import HISTORY_FRAMES, PERSONAL_WORDS
+from .sketch import Sketch, anti_join
 
 
 def normalised_question(question: Column) -> Column:
@@ -50,9 +51,12 @@ def cache_lookup(questions: DataFrame, cache: DataFrame, question: str = "questi
     return asked.join(cache.withColumn("hit", F.lit(True)), "q_hash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def unseen(texts: DataFrame, cache: DataFrame, text: str = "text", key: str = "sha") -> DataFrame:
-    """Distinct texts, by SHA-256, that cache has no row for."""
-    return texts.select(F.sha2(text, 256).alias(key), text).dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+def unseen(texts: DataFrame, cache: DataFrame, text: str = "text", key: str = "sha", sketch: Sketch | None = None) -> DataFrame:
+    """Distinct texts, by SHA-256, that cache has no row for.
+
+    With a sketch of the cache's keys, only texts that it may have go through the join.
+    """
+    return anti_join(texts.select(F.sha2(text, 256).alias(key), text).dropDuplicates([key]), cache, key, sketch)
 
 
 def should_cache(answer_type: Column, task: Column) -> Column:
