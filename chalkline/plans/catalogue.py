@@ -12,6 +12,7 @@ from .. import lexicons as L
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import context, lookups, memory, quotas, rules, vectors
+from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +33,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For queries with much work on each row."""
+    return tables.read_spread(spark, f"{sf_dir}/{name}.parquet")
+
+
 def sql_list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
@@ -248,12 +254,12 @@ def _count_words(words) -> str:
 @query(f"""WITH c AS (SELECT doc_id, {_count_words(L.MALAY_MARKERS)} AS bm, {_count_words(L.ENGLISH_MARKERS)} AS en FROM documents)
 SELECT doc_id, CASE WHEN bm > en * 2 THEN 'BM' WHEN en > bm * 2 THEN 'EN' ELSE 'mixed' END AS language FROM c""")
 def q21_language_by_lexicon(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.language_by_markers(F.col("text")).alias("language"))
+    return read_wide(spark, sf_dir, "documents").select("doc_id", T.language_by_markers(F.col("text")).alias("language"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: list_contains({sql_list(L.ENGLISH_TOKENS)}, t))) >= 2 THEN 'EN' ELSE 'BM' END AS language FROM documents""")
 def q22_token_language(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.language_by_tokens(F.col("text")).alias("language"))
+    return read_wide(spark, sf_dir, "documents").select("doc_id", T.language_by_tokens(F.col("text")).alias("language"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations)
@@ -267,7 +273,7 @@ def q23_keyword_route(spark, sf_dir):
 
 @query(f"SELECT doc_id, len(list_filter({sql_list(L.ENGLISH_CHEMISTRY)}, lambda w: contains(lower(text), w)))::INT AS n FROM documents")
 def q24_keyword_distinct_hits(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.distinct_hits(F.lower("text"), L.ENGLISH_CHEMISTRY).alias("n"))
+    return read_wide(spark, sf_dir, "documents").select("doc_id", T.distinct_hits(F.lower("text"), L.ENGLISH_CHEMISTRY).alias("n"))
 
 
 @query("""WITH d AS (SELECT source, lang, doc_id % 5 AS chapter FROM documents)
@@ -283,7 +289,7 @@ def q25_doc_type_counts(spark, sf_dir):
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, 'sample of ' || l_quantity::INT || ' g in ' || (l_suppkey % 50 + 1) || ' cm3, ' || (l_partkey % 9 + 1) || ' mol dm3 and ' || l_linenumber || ' mg' AS q FROM lineitem)
 SELECT l_orderkey, l_linenumber, regexp_extract(q, '([0-9]+) g', 1)::DOUBLE + l_linenumber / 1000.0 AS mass, regexp_extract(q, '([0-9]+) cm3', 1)::DOUBLE AS volume, regexp_extract(q, '([0-9]+) mol', 1)::DOUBLE AS molarity FROM t""")
 def q26_unit_extract(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
+    li = read_wide(spark, sf_dir, "lineitem")
     q = F.concat(
         F.lit("sample of "), F.col("l_quantity").cast("int"), F.lit(" g in "), F.col("l_suppkey") % 50 + 1, F.lit(" cm3, "), F.col("l_partkey") % 9 + 1, F.lit(" mol dm3 and "), F.col("l_linenumber"), F.lit(" mg"),
     )
@@ -503,7 +509,7 @@ def q30_markdown_chunks(spark, sf_dir):
     from ..operators import documents
 
     # lines of prose become sections, so that every rule of the chunker has work
-    d = read(spark, sf_dir, "documents").where("text is not null")
+    d = read_wide(spark, sf_dir, "documents").where("text is not null")
     text = F.concat(F.lit("# "), F.col("lang"), F.lit("\n"), F.regexp_replace("text", r"\.\n", ".\n---\n"))
     files = d.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("source_file"), text.alias("text"))
     return documents.tag(documents.chunk_markdown(files)).select("chunk_id", "char_count", "content_type", "language", F.sha2("embed_text", 256).alias("embed_sha"))
@@ -513,7 +519,7 @@ def q30_markdown_chunks(spark, sf_dir):
 def q43_confidence_score(spark, sf_dir):
     from ..functions import confidence
 
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_wide(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", confidence.confidence(F.col("text")).alias("score")).withColumn("tier", confidence.tier(F.col("score")))
 
 
@@ -524,7 +530,7 @@ def q43_confidence_score(spark, sf_dir):
 def q44_quick_confidence(spark, sf_dir):
     from ..functions import confidence
 
-    return read(spark, sf_dir, "documents").select("doc_id", confidence.quick_confidence(F.col("text")).alias("score"))
+    return read_wide(spark, sf_dir, "documents").select("doc_id", confidence.quick_confidence(F.col("text")).alias("score"))
 
 
 #: (question, its task, the answer as SQL) for quantity q and line number n; what stands in braces is put in.
@@ -549,9 +555,10 @@ ASKED = (
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n"))
-    texts = F.array(*(F.format_string(t.replace("%", "%%").replace("{q}", "%1$d").replace("{n}", "%2$d"), "q", "n") for t, _, _ in ASKED))
-    return li.select("l_orderkey", "l_linenumber", texts[(F.col("l_orderkey") % len(ASKED)).cast("int")].alias("question"))
+    li = read_wide(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n"))
+    place = F.col("l_orderkey") % len(ASKED)
+    texts = (F.format_string(t.replace("%", "%%").replace("{q}", "%1$d").replace("{n}", "%2$d"), "q", "n") for t, _, _ in ASKED)
+    return li.select("l_orderkey", "l_linenumber", F.coalesce(*(F.when(place == i, t) for i, t in enumerate(texts))).alias("question"))
 
 
 def _sql_asked(i: int) -> str:

@@ -14,7 +14,7 @@ from ..functions import numbers as N
 from ..functions import registry
 from ..functions import text as T
 from ..operators import lookups, validation
-from .catalogue import query, read
+from .catalogue import query, read, read_wide
 
 KEYS = ("l_orderkey", "l_linenumber")
 
@@ -76,7 +76,7 @@ SELECT l_orderkey, l_linenumber, task, round(v + {TIE}, 6) + 0.0 AS value, CASE
 
 
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
+    li = read_wide(spark, sf_dir, "lineitem")
     a, b, c, p = F.col("l_quantity").cast("double"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100), F.col("l_extendedprice").cast("double") / 1000
     return li.select(*KEYS, a.alias("a"), b.alias("b"), c.alias("c"), p.alias("p"), (F.col("l_linenumber") % 2 == 0).alias("even"))
 
@@ -122,7 +122,7 @@ SELECT l_orderkey, l_linenumber, round(CASE kind WHEN 0 THEN n * {MASS["C"]} + m
   round(CASE kind WHEN 0 THEN n * {MASS["C"]} / (n * {MASS["C"]} + m * {MASS["H"]} + {MASS["O"]}) END, 6)::DOUBLE AS carbon,
   n || 'H2 + O2 -> ' || m || 'H2O' AS equation, n AS hydrogen, m AS water, round(m / n::DOUBLE, 6) AS ratio FROM li""")
 def q60_formulas_and_equations(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
+    li = read_wide(spark, sf_dir, "lineitem")
     n, m, kind = F.col("l_partkey") % 9 + 2, F.col("l_suppkey") % 7 + 2, F.col("l_linenumber") % 4
     cat = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
     formula = F.when(kind == 0, cat("C", n, "H", m, "O")).when(kind == 1, cat("Ca(OH)", n)).when(kind == 2, cat("Al2(SO", m, ")", n)).otherwise("Xx2")
@@ -144,7 +144,7 @@ def q60_formulas_and_equations(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, [q::DOUBLE, (w / 1000.0)::DOUBLE] AS masses, [v::DOUBLE, (v + 1)::DOUBLE] AS cm3, [(n + 0.5)::DOUBLE] AS dm3, [n::DOUBLE, w::DOUBLE] AS moles, [n::DOUBLE, w::DOUBLE] AS molarities, [q::DOUBLE, (q + v)::DOUBLE] AS temps, [v::DOUBLE, 3.0] AS times,
   (n + 0.25)::DOUBLE AS ph, (v + 0.5)::DOUBLE AS poh, CASE WHEN n % 3 = 0 THEN 'STP' WHEN n % 3 = 1 THEN 'RTP' END AS condition FROM li""")
 def q61_extract_quantities(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
+    li = read_wide(spark, sf_dir, "lineitem")
     q, v, w, n = F.col("l_quantity").cast("int"), F.col("l_partkey") % 90 + 1, F.col("l_suppkey") % 60 + 1, F.col("l_linenumber")
     cat = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     quantities = cat("Jisim ", q, " g dan ", w, " mg, ", v, " cm3 atau ", v + 1, " ml, gas ", n, ".5 dm3")
@@ -180,7 +180,7 @@ SELECT l_orderkey, l_linenumber, array_to_string(list_sort(codes), ',') AS codes
 def q62_validate_formulas_and_equations(spark, sf_dir):
     from ..operators.rules import issues
 
-    li = read(spark, sf_dir, "lineitem").select(*KEYS, choose([f for f, _ in STATED]).alias("formula"), choose([e for e, _ in EQUATIONS]).alias("equation"))
+    li = read_wide(spark, sf_dir, "lineitem").select(*KEYS, choose([f for f, _ in STATED]).alias("formula"), choose([e for e, _ in EQUATIONS]).alias("equation"))
     li = li.select("*", G.formula_counts(validation.corrected_formula(F.col("formula"))).alias("counts"), G.equation_sides(F.col("equation")).alias("sides"))
     found = [*validation.stated(validation.formula_rules(F.col("formula"), F.col("counts")), F.col("formula")), *validation.stated(validation.equation_rules(F.col("equation"), F.col("sides")), F.col("equation"))]
     codes = F.array_sort(F.transform(issues(found), lambda i: i["code"]))
@@ -208,7 +208,7 @@ def _sql_bounds() -> str:
 def q63_issues_of_every_field(spark, sf_dir):
     from ..operators.rules import issues
 
-    li = read(spark, sf_dir, "lineitem").select(choose(list(BOUNDS)).alias("field"), F.expr(VALUE.replace("::DOUBLE", "")).cast("double").alias("v"))
+    li = read_wide(spark, sf_dir, "lineitem").select(choose(list(BOUNDS)).alias("field"), F.expr(VALUE.replace("::DOUBLE", "")).cast("double").alias("v"))
     records = li.select("field", *(F.when(F.col("field") == f, F.col("v")).alias(f) for f in BOUNDS))
     found = records.select("field", F.explode(issues(validation.range_rules(records.columns))).alias("issue"))
     return found.groupBy("field", F.col("issue.code").alias("code")).agg(F.count("*").alias("n"))
@@ -245,6 +245,6 @@ def q65_number_texts(spark, sf_dir):
   substr(text, 1, 40) || CASE WHEN length(text) > 40 THEN '...' ELSE '' END AS preview FROM documents""")
 def q66_message_texts(spark, sf_dir):
     text = F.col("text")
-    return read(spark, sf_dir, "documents").select(
+    return read_wide(spark, sf_dir, "documents").select(
         "doc_id", F.sha2(T.html_escape(text), 256).alias("escaped"), F.sha2(T.translate_answer(text, F.lit("EN")), 256).alias("english"), M.preview(text, 40).alias("preview")
     )

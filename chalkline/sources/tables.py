@@ -19,6 +19,18 @@ def read_index(spark: SparkSession, path: str, names: list[str] | None = None, i
     return table.where(F.col(index).isin(names)) if names is not None else table
 
 
+#: Bytes of a table that is small enough to be spread.
+SMALL_TABLE = 256 << 20
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for heavy work on each row: a small one, of which a file may be a single row group, is dealt out to all cores; a larger one is read as it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    table = spark.read.parquet(path)
+    return table.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE else table
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records, one row each."""
     return spark.read.option("multiLine", True).json(path)
