@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import context, lookups, memory, quotas, rules, vectors
 from ..sources import tables
+from ..sources.staging import with_distinct
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -557,7 +559,7 @@ ASKED = (
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_wide(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n"))
     place = F.col("l_orderkey") % len(ASKED)
-    texts = (F.format_string(t.replace("%", "%%").replace("{q}", "%1$d").replace("{n}", "%2$d"), "q", "n") for t, _, _ in ASKED)
+    texts = (F.concat(*(F.coalesce(F.col(x[1]).cast("string"), F.lit("null")) if x in ("{q}", "{n}") else F.lit(x) for x in re.split("({[qn]})", t) if x)) for t, _, _ in ASKED)
     return li.select("l_orderkey", "l_linenumber", F.coalesce(*(F.when(place == i, t) for i, t in enumerate(texts))).alias("question"))
 
 
@@ -569,14 +571,15 @@ def _sql_asked(i: int) -> str:
 def q52_classify_questions(spark, sf_dir):
     from ..functions import questions
 
-    return questions.task_records(_asked(spark, sf_dir)).select("l_orderkey", "l_linenumber", "task")
+    tasks = with_distinct(_asked(spark, sf_dir), ["question"], lambda each: questions.records_of(each, "question").select("question", "task"), "tasks")
+    return tasks.select("l_orderkey", "l_linenumber", "task")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(({_sql_asked(2)})::DOUBLE, 6) AS answer FROM (SELECT l_orderkey, l_linenumber, floor(l_quantity)::DOUBLE AS q, l_linenumber::DOUBLE AS n FROM lineitem)")
 def q54_solve_questions(spark, sf_dir):
     from . import retrieval
 
-    return retrieval.solve(_asked(spark, sf_dir)).select("l_orderkey", "l_linenumber", F.round("answer_value", 6).alias("answer"))
+    return retrieval.answers(_asked(spark, sf_dir), columns=["answer_value"]).select("l_orderkey", "l_linenumber", F.round("answer_value", 6).alias("answer"))
 
 
 def _sql_issues() -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import numbers, questions, text
 from ..operators import context, documents, memory, validation, vectors
 from ..operators.rules import has_severity
-from ..sources.staging import staged
+from ..sources.staging import staged, with_distinct
 
 Embedder = Callable[[Column], Column]
 INDEX_ORDER = ("index_theory", "index_calculations", "index_qa")
@@ -110,7 +110,24 @@ def contexts(hits: DataFrame, budget: int = 3000) -> DataFrame:
 
 def solve(asked: DataFrame, question: str = "question") -> DataFrame:
     """Questions to task records, validated, evaluated; records with a critical issue have no answer."""
-    records = questions.with_masses(questions.task_records(asked, question))
+    return _solved(questions.task_records(asked, question))
+
+
+def answers(asked: DataFrame, question: str = "question", columns: Sequence[str] = ("task", "answer_value", "answer_unit", "status")) -> DataFrame:
+    """asked with those columns of solve(). A question that many rows ask, with equal fields of a record if rows have such, is solved once."""
+    fields = [c for c in asked.columns if c != question and (c in numbers.FIELDS or c in validation.FORMULA_FIELDS)]
+    keys = [question, *fields]
+
+    def of(each: DataFrame) -> DataFrame:
+        # staged, or the optimizer would put the rules into the evaluators, and both into the checks
+        records = staged(questions.records_of(each, question), "task-records")
+        return _solved(records).select(*keys, *columns)
+
+    return with_distinct(asked, keys, of, "answers")
+
+
+def _solved(records: DataFrame) -> DataFrame:
+    records = questions.with_masses(records)
     out = validation.validated(numbers.evaluate(records))
     blocked = has_severity(F.col("issues"), "critical")
     return out.withColumn("status", F.when(blocked, "invalid").otherwise(F.col("status"))).withColumn("answer_value", F.when(~blocked, F.col("answer_value")))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,3 +30,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_distinct(rows: DataFrame, keys: list[str], of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """rows with the columns that of() adds to a table of their distinct keys, nulls among them.
+
+    For heavy work on values that many rows repeat: each is worked on once. The
+    result is staged, so its size is known beforehand: a small one is broadcast
+    and rows stay where they are, a large one is joined by a shuffle.
+    """
+    # few bytes, but much work for each: they are spread anew, or adaptive execution would put them into one task
+    each = rows.select(*keys).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    own = staged(of(each).withColumnsRenamed(known), name)
+    same = reduce(Column.__and__, (rows[k].eqNullSafe(own[c]) for k, c in known.items()))
+    return rows.join(own, same, "left").drop(*known.values())
