@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as G
 from ..functions.text import NUMBER
+from ..sources.staging import with_distinct
 from .rules import Rule, issues
 
 # ---- Fixed values: misread formulas and what they stand for
@@ -143,6 +144,28 @@ def stated(rules: list[Rule], field: Column) -> list[Rule]:
     return [(severity, code, message, name, (field != "") & when) for severity, code, message, name, when in rules]
 
 
+def with_formula_issues(rows: DataFrame, formula: str) -> DataFrame:
+    """rows with <formula>_issues; each distinct formula is read once."""
+
+    def checked(each: DataFrame) -> DataFrame:
+        read = each.withColumn("__counts", G.formula_counts(corrected_formula(F.col(formula))))
+        found = issues(stated(formula_rules(F.col(formula), F.col("__counts"), formula), F.col(formula)))
+        return read.select(formula, found.alias(f"{formula}_issues"))
+
+    return with_distinct(rows, [formula], checked, "formula-issues")
+
+
+def with_equation_issues(rows: DataFrame, equation: str) -> DataFrame:
+    """rows with <equation>_issues; each distinct equation is read once."""
+
+    def checked(each: DataFrame) -> DataFrame:
+        read = each.withColumn("__sides", G.equation_sides(F.col(equation)))
+        found = issues(stated(equation_rules(F.col(equation), F.col("__sides"), equation), F.col(equation)))
+        return read.select(equation, found.alias(f"{equation}_issues"))
+
+    return with_distinct(rows, [equation], checked, "equation-issues")
+
+
 def validated(records: DataFrame) -> DataFrame:
     """records with issues: formulas that they state, their equation, ranges of their fields, then checks of their task."""
     own = [k for k in FORMULA_FIELDS if k in records.columns]

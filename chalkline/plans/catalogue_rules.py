@@ -178,13 +178,9 @@ SELECT l_orderkey, l_linenumber, array_to_string(list_sort(codes), ',') AS codes
 
 @query(_sql_codes())
 def q62_validate_formulas_and_equations(spark, sf_dir):
-    from ..operators.rules import issues
-
     li = read_wide(spark, sf_dir, "lineitem").select(*KEYS, choose([f for f, _ in STATED]).alias("formula"), choose([e for e, _ in EQUATIONS]).alias("equation"))
-    li = li.select("*", G.formula_counts(validation.corrected_formula(F.col("formula"))).alias("counts"), G.equation_sides(F.col("equation")).alias("sides"))
-    found = [*validation.stated(validation.formula_rules(F.col("formula"), F.col("counts")), F.col("formula")), *validation.stated(validation.equation_rules(F.col("equation"), F.col("sides")), F.col("equation"))]
-    codes = F.array_sort(F.transform(issues(found), lambda i: i["code"]))
-    return li.select(*KEYS, F.array_join(codes, ",").alias("codes"))
+    found = validation.with_equation_issues(validation.with_formula_issues(li, "formula"), "equation")
+    return found.select(*KEYS, F.array_join(F.array_sort(F.concat("formula_issues.code", "equation_issues.code")), ",").alias("codes"))
 
 
 #: field -> (condition in SQL of a value v, code)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.operators import validation
 from chalkline.plans import retrieval
 
 
@@ -22,3 +23,15 @@ def test_fields_of_asked_questions_count(spark):
     rows = [(1, "berapakah jisim 2 mol NaCl", 4.0), (2, "berapakah jisim 2 mol NaCl", -1.0), (3, "berapakah jisim 2 mol NaCl", None)]
     got = retrieval.answers(spark.createDataFrame(rows, "id int, question string, specific_heat double"))
     assert {r.id: r.answer_value for r in got.select("id", "answer_value").collect()} == {1: 117.0, 2: None, 3: 117.0}
+
+
+def test_equal_formulas_and_equations_are_checked_once(spark):
+    formula = F.element_at(F.array(*map(F.lit, ["NaOH", "H20", "Ca(OH", None])), (F.col("id") % 4 + 1).cast("int"))
+    equation = F.element_at(F.array(*map(F.lit, ["2H2 + O2 -> 2H2O", "H2 + O2 ->"])), (F.col("id") % 2 + 1).cast("int"))
+    rows = spark.range(400).select("id", formula.alias("formula"), equation.alias("equation"))
+    found = validation.with_equation_issues(validation.with_formula_issues(rows, "formula"), "equation")
+    own = plan(found)
+    assert own.count("BroadcastHashJoin") == 2 and "Python" not in own
+    codes = F.concat_ws(",", "formula_issues.code", "equation_issues.code").alias("codes")
+    got = {(r.formula, r.codes): r.n for r in found.groupBy("formula", codes).agg(F.count("*").alias("n")).collect()}
+    assert got == {("NaOH", ""): 100, ("H20", "FORMULA_OCR_CORRECTED,EQUATION_EMPTY_RHS"): 100, ("Ca(OH", "FORMULA_UNBALANCED_PARENS"): 100, (None, "EQUATION_EMPTY_RHS"): 100}
