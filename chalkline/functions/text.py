@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value evaluated once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from ..functions.text import let
 
 
 def first_contained(text: Column, entries: Sequence[tuple[str, Column]], otherwise: Column | None = None) -> Column:
@@ -20,14 +21,17 @@ def first_contained(text: Column, entries: Sequence[tuple[str, Column]], otherwi
 
 def file_topic(source_file: Column) -> Column:
     """struct(chapter, tingkatan, topic) of a file name: by the table, else by BAB_<n>, else nulls."""
-    stem = F.upper(F.regexp_replace(F.regexp_extract(source_file, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    name = F.upper(F.regexp_replace(F.regexp_extract(source_file, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
 
     def info(chapter: Column, form: Column, topic: Column) -> Column:
         return F.struct(chapter.cast("int").alias("chapter"), form.cast("int").alias("tingkatan"), topic.alias("topic"))
 
-    number = F.regexp_extract(stem, r"BAB_?([0-9]+)", 1).try_cast("int")
-    fallback = F.when(number.isNotNull(), info(number, F.when(number <= 5, 4).otherwise(5), F.lit(""))).otherwise(info(F.lit(None), F.lit(None), F.lit("")))
-    return first_contained(stem, [(k, info(F.lit(c), F.lit(t), F.lit(name))) for k, c, t, name in L.FILE_TOPICS], fallback)
+    def of(stem: Column) -> Column:
+        number = F.regexp_extract(stem, r"BAB_?([0-9]+)", 1).try_cast("int")
+        fallback = F.when(number.isNotNull(), info(number, F.when(number <= 5, 4).otherwise(5), F.lit(""))).otherwise(info(F.lit(None), F.lit(None), F.lit("")))
+        return first_contained(stem, [(k, info(F.lit(c), F.lit(t), F.lit(topic))) for k, c, t, topic in L.FILE_TOPICS], fallback)
+
+    return let(name, of)
 
 
 def english_keywords(keywords: Column) -> Column:

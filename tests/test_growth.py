@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from chalkline.operators import validation
-from chalkline.plans import retrieval
+from chalkline.operators import lookups, validation
+from chalkline.plans import catalogue_rules, retrieval
 
 
 def plan(df) -> str:
@@ -35,3 +35,15 @@ def test_equal_formulas_and_equations_are_checked_once(spark):
     codes = F.concat_ws(",", "formula_issues.code", "equation_issues.code").alias("codes")
     got = {(r.formula, r.codes): r.n for r in found.groupBy("formula", codes).agg(F.count("*").alias("n")).collect()}
     assert got == {("NaOH", ""): 100, ("H20", "FORMULA_OCR_CORRECTED,EQUATION_EMPTY_RHS"): 100, ("Ca(OH", "FORMULA_UNBALANCED_PARENS"): 100, (None, "EQUATION_EMPTY_RHS"): 100}
+
+
+def test_a_file_name_is_cut_once(spark):
+    names = spark.createDataFrame([("x/BAB_4_jadual_berkala_unsur_2.md",), ("bab_9.txt",), (None,)], "f string")
+    topics = names.select(lookups.file_topic(F.col("f")).alias("t")).select("t.*")
+    assert 1 <= plan(topics).count("[^/]*") <= 3  # once for each field at most, not for each key
+    assert [tuple(r)[:2] for r in topics.collect()] == [(4, 4), (9, 5), (None, None)]
+
+
+def test_file_names_are_counted_before_their_topics(spark):
+    own = plan(catalogue_rules.q64_file_topics(spark, "/root/testdata/sf0.001"))
+    assert own.count("HashAggregate") == 4  # by name, then by topic
