@@ -148,7 +148,7 @@ def translate_answer(text: Column, lang: Column) -> Column:
 
 def numbers(text: Column, pattern: str) -> Column:
     """The numbers that group 1 of all matches holds."""
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("double"))
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).cast("array<double>")
 
 
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
@@ -178,7 +178,8 @@ def molarities(text: Column) -> Column:
     """Values in mol dm-3 as written, then those in mol dm3 that are not among them yet."""
     t = F.lower(text)
     first = numbers(t, NUMBER + r"\s*mol\s*dm[-−]?3")
-    return F.concat(first, F.array_except(numbers(t, NUMBER + r"\s*mol\s*dm3"), first))
+    plain = F.when(F.contains(t, F.lit("dm3")), F.array_except(numbers(t, NUMBER + r"\s*mol\s*dm3"), first))
+    return F.concat(first, F.coalesce(plain, F.when(t.isNotNull(), F.expr("cast(array() as array<double>)"))))
 
 
 def temperatures(text: Column) -> Column:

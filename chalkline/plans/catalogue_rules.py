@@ -150,6 +150,9 @@ def q61_extract_quantities(spark, sf_dir):
     quantities = cat("Jisim ", q, " g dan ", w, " mg, ", v, " cm3 atau ", v + 1, " ml, gas ", n, ".5 dm3")
     solutions = cat(n, " mol dm-3 HCl dan ", w, " mol dm-3 NaOH")
     rest = cat("suhu ", q, " °C hingga ", q + v, "C selama ", v, " s dan 3 min, pH = ", n, ".25, pOH ", v, ".5", F.when(n % 3 == 0, " pada STP").when(n % 3 == 1, " pada keadaan bilik").otherwise(""))
+    # the texts stand in columns of their own, or each pattern would put them together anew
+    li = li.select(*KEYS, quantities.alias("quantities"), solutions.alias("solutions"), rest.alias("rest"))
+    quantities, solutions, rest = F.col("quantities"), F.col("solutions"), F.col("rest")
     return li.select(
         *KEYS, T.masses(quantities).alias("masses"), T.volumes_cm3(quantities).alias("cm3"), T.volumes_dm3(quantities).alias("dm3"), T.moles(solutions).alias("moles"), T.molarities(solutions).alias("molarities"), T.temperatures(rest).alias("temps"),
         T.times(rest).alias("times"), T.ph(rest).alias("ph"), T.poh(rest).alias("poh"), T.gas_condition(rest).alias("condition"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.functions import text
 from chalkline.operators import lookups, validation
 from chalkline.plans import catalogue_rules, retrieval
 
@@ -47,3 +48,14 @@ def test_a_file_name_is_cut_once(spark):
 def test_file_names_are_counted_before_their_topics(spark):
     own = plan(catalogue_rules.q64_file_topics(spark, "/root/testdata/sf0.001"))
     assert own.count("HashAggregate") == 4  # by name, then by topic
+
+
+def test_numbers_are_read_without_lambdas(spark):
+    rows = spark.createDataFrame([("2 mol dm-3 HCl, 1 mol dm3 NaOH, 1.5 mol",), ("0.5 MOL dm−3",), ("suhu 25.5 °C",), (None,)], "t string")
+    own = rows.select(*(f(F.col("t")).alias(f.__name__) for f in (text.moles, text.molarities, text.temperatures, text.times)))
+    assert "lambda" not in plan(own)
+    assert [tuple(r) for r in own.collect()] == [([2.0, 1.0, 1.5], [2.0, 1.0], [], []), ([0.5], [0.5], [], []), ([], [], [25.5], []), (None, None, None, None)]
+
+
+def test_texts_of_quantities_are_put_together_once(spark):
+    assert plan(catalogue_rules.q61_extract_quantities(spark, "/root/testdata/sf0.001")).count("concat(Jisim") <= 1
