@@ -45,8 +45,8 @@ def language_by_markers(text: Column) -> Column:
     def n(words: Sequence[str]) -> Column:
         return F.regexp_count(text, F.lit(r"(?i)\b(?:" + "|".join(words) + r")\b"))
 
-    bm, en = n(L.MALAY_MARKERS), n(L.ENGLISH_MARKERS)
-    return F.when(bm > en * 2, "BM").when(en > bm * 2, "EN").otherwise("mixed")
+    counts = F.struct(n(L.MALAY_MARKERS).alias("bm"), n(L.ENGLISH_MARKERS).alias("en"))
+    return let(counts, lambda c: F.when(c["bm"] > c["en"] * 2, "BM").when(c["en"] > c["bm"] * 2, "EN").otherwise("mixed"))
 
 
 def language_by_tokens(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_newlines, language_by_markers, strings, strip
+from ..functions.text import contains_any, fold_newlines, language_by_markers, strings, strip
 from ..sources.markdown import stem
 from .lookups import described, english_keywords, file_topic
 
@@ -119,7 +119,9 @@ def keyword_list(content: Column) -> Column:
 def equations(content: Column) -> Column:
     """Lines with an arrow that has three characters or more on either side."""
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike("(?d)^.{3,}(?:→|⇌|->|⟶).{3,}"))
-    return F.transform(lines, lambda e: F.regexp_replace(e, r"^\s+|\s+$", ""))
+    found = F.transform(lines, lambda e: F.regexp_replace(e, r"^\s+|\s+$", ""))
+    # most texts have no arrow, and their lines are not cut
+    return F.when(~contains_any(content, ["→", "⇌", "->", "⟶"]), F.expr("cast(array() as array<string>)")).otherwise(found)
 
 
 def formula_candidates(content: Column) -> Column:
@@ -127,7 +129,10 @@ def formula_candidates(content: Column) -> Column:
     parts = F.flatten(F.transform(equations(content), lambda e: F.split(e, "[→⇌>+-]")))
     words = F.transform(parts, lambda p: F.split(strip(p), r"\s+")[0])
     words = F.transform(F.filter(words, lambda w: w.rlike("[A-Z][a-z0-9]")), lambda w: F.regexp_replace(w, "^[(),. ]+|[(),. ]+$", ""))
-    lines = F.filter(F.transform(F.split(content, "\n"), strip), lambda x: x.rlike(r"^[A-Z][A-Za-z0-9()·.^+\-=₂₃₄⁺⁻]+$"))
+    one = r"[A-Z][A-Za-z0-9()·.^+\-=₂₃₄⁺⁻]+"
+    # only lines that may be one are stripped; the last test decides
+    lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(rf"^\s*{one}[\u0085\u2028\u2029]?\s*$"))
+    lines = F.filter(F.transform(lines, strip), lambda x: x.rlike(f"^{one}$"))
     return F.array_sort(F.array_distinct(F.concat(words, lines)))
 
 
@@ -138,8 +143,7 @@ def diagrams(content: Column) -> Column:
 
 def worked_example(content: Column) -> Column:
     low = F.lower(content)
-    on = F.filter(strings(EXAMPLE_MARKERS), lambda m: F.contains(low, F.concat(F.lit("# "), m)) | F.contains(low, F.concat(F.lit("\n"), m, F.lit(":"))))
-    return F.size(on) >= 2
+    return sum(F.coalesce(contains_any(low, [f"# {m}", f"\n{m}:"]).cast("int"), F.lit(0)) for m in EXAMPLE_MARKERS) >= 2
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -172,7 +176,7 @@ def content_type() -> Column:
         F.when(has("calculation", "pengiraan"), "calculation")
         .when(has("master", "reference", "jisim_atom"), "formula")
         .when(text.rlike(QUESTION) & worked, "qa_scheme")
-        .when(worked | (text.rlike(CALCULATION) & (F.size("equations") > 0)), "calculation")
+        .when(worked | ((F.size("equations") > 0) & text.rlike(CALCULATION)), "calculation")
         .when(text.rlike(FORMULA_LINE) & (F.size("formulas") >= 3) & ~defines, "formula")
         .when(defines & ~worked, "definition")
         .otherwise("theory")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chalkline.functions import text
-from chalkline.operators import lookups, validation
+from chalkline.operators import documents, lookups, validation
 from chalkline.plans import catalogue_rules, retrieval
 
 
@@ -59,3 +59,16 @@ def test_numbers_are_read_without_lambdas(spark):
 
 def test_texts_of_quantities_are_put_together_once(spark):
     assert plan(catalogue_rules.q61_extract_quantities(spark, "/root/testdata/sf0.001")).count("concat(Jisim") <= 1
+
+
+def test_markers_of_a_language_are_counted_once(spark):
+    rows = spark.createDataFrame([("ialah yang untuk mass",), ("mass volume step ialah",), ("ialah mass",), (None,)], "t string")
+    own = rows.select(text.language_by_markers(F.col("t")).alias("l"))
+    assert plan(own).count("regexp_extract_all(") == 2
+    assert [r.l for r in own.collect()][:3] == ["BM", "EN", "mixed"]
+
+
+def test_lines_with_formulas_and_arrows(spark):
+    rows = spark.createDataFrame([("H2O\n  NaCl \t\nNo formula\nKOH\u2028\n x",), ("2H2 + O2 -> 2H2O\nCaO",), ("plain",), (None,)], "t string")
+    own = rows.select(documents.formula_candidates(F.col("t")).alias("f"), documents.equations(F.col("t")).alias("e"), documents.worked_example(F.col("t")).alias("w"))
+    assert [(r.f, r.e, r.w) for r in own.collect()] == [(["H2O", "KOH\u2028", "NaCl"], [], False), (["2H2", "2H2O", "CaO", "O2"], ["2H2 + O2 -> 2H2O"], False), ([], [], False), (None, None, False)]
