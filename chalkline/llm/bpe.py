@@ -1,7 +1,7 @@
 """Byte-level BPE by ranked merges, folded with Spark's higher-order functions.
 
-Tasks cut their texts into words of the tokenizer's pattern and hand on each
-distinct word once. Spark folds the merges over the bytes of these words, with
+Tasks cut blocks of texts into words of the tokenizer's pattern with Arrow, look
+at each distinct piece of a block once, and hand on each distinct word once. Spark folds the merges over the bytes of these words, with
 a map of ranks as a literal in the plan; a word's ids then go wherever it stands.
 Decoding concatenates the byte strings of the ids, word by word. Nothing is shuffled. Words of
 a bounded sample are encoded first, so that tasks do not repeat common ones.
@@ -32,17 +32,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .files import read_bytes, write_bytes
 from .shared import shared_folder, written
-from .units import core_and_marks, unit_text, units
+from .units import MARKS, unit_array, unit_text
 
 #: Slots of the literal rank map, and the rank of what is no token.
 SLOTS, NONE = 1 << 16, 1 << 30
 #: Codes that no character may have.
 SURROGATES, SURROGATES_END = 0xD800, 0xE000
-BLOCK_CHARS = 1 << 19
+#: Bytes of the texts whose words go together.
+BLOCK_BYTES = 1 << 21
 #: Distinct words that a task remembers; beyond, it starts anew.
 REMEMBERED = 150_000
-#: Units of texts whose words it remembers.
-REMEMBERED_UNITS = 80_000
 #: Documents whose words are encoded first, and most of these words.
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 40_000, 200_000
 #: Bytes of a word that is folded whole; of longer ones, the step between windows and a window's bytes.
@@ -149,6 +148,25 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
 # ---- words of texts
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose last column has about BLOCK_BYTES bytes."""
+    held, size = [], 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(b.num_rows, int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1)
+            held.append(b[at:end])
+            size += int(ends[end - 1]) - before
+            if size >= BLOCK_BYTES:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, size = [], 0
+            at = end
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Words:
     """Numbers for distinct words; those of the sample have theirs beforehand."""
 
@@ -160,7 +178,6 @@ class Words:
 
     def reset(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.units: dict[str, bytes] = {}
         self.new: list[bytes] = []
 
     def _number(self, word: str) -> bytes:
@@ -176,27 +193,45 @@ class Words:
             self.new.append(word.encode(errors="surrogateescape"))
         return i.to_bytes(4, "little")
 
-    def _unit(self, key: str) -> bytes:
-        # a blank and letters are one word, and so are marks after them
-        core, marks = core_and_marks(key)
-        if core.isalpha():
-            return self._number(" " + core) + (self._number(marks) if marks else b"")
-        return b"".join(map(self._number, self.find(unit_text(key))))
-
-    def of(self, text: str) -> bytes:
-        """The numbers of a text's words."""
+    def _units(self, keys: list[str]) -> Iterator[bytes]:
+        """The numbers of each unit's words."""
+        known, numbers, most = self.known.get, self.numbers.get, LONG_BYTES // 4
+        for key in keys:
+            # a blank and letters are one word, and so are marks after them
+            core = key.rstrip(MARKS)
+            if not core.isalpha():
+                yield b"".join(map(self._number, self.find(unit_text(key))))
+                continue
+            word = " " + core
+            i = known(word)
+            if i is None:
+                i = numbers(word)
+            own = self._number(word) if i is None or len(word) > most else i.to_bytes(4, "little")
+            yield own if len(core) == len(key) else own + self._number(key[len(core) :])
+
+    def of(self, texts: pa.StringArray) -> tuple[pa.Buffer, np.ndarray]:
+        """The numbers of the words of texts, and where those of each text end."""
         if not self.by_units:
-            return b"".join(map(self._number, self.find(text)))
-        keys, own = units(text), self.units
-        try:
-            return b"".join(map(own.__getitem__, keys))
-        except KeyError:
-            if len(own) > REMEMBERED_UNITS:
-                own.clear()
-            for k in keys:
-                if k not in own:
-                    own[k] = self._unit(k)
-            return b"".join(map(own.__getitem__, keys))
+            own = [b"".join(map(self._number, self.find(t))) for t in texts.to_pylist()]
+            return pa.py_buffer(b"".join(own)), np.cumsum([len(x) // 4 for x in own], dtype=np.int64)
+        keys, ends = unit_array(texts)
+        coded = keys.dictionary_encode()
+        numbers = list(self._units(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        return joined_parts(pa.array(numbers, pa.binary()), coded.indices, ends, 4)
+
+
+def joined_parts(parts: pa.BinaryArray, indices, ends: np.ndarray, width: int = 1) -> tuple[pa.Buffer, np.ndarray]:
+    """The parts with these indices put together, and where what stands before each end does end, in steps of width bytes."""
+    taken = parts.take(indices)
+    stops = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    data = (taken.buffers()[2] or pa.py_buffer(b""))[int(stops[0]) : int(stops[-1])]
+    return data, ((stops[ends] - stops[0]) // width).astype(np.int64)
+
+
+def as_binary(data, ends: np.ndarray) -> pa.BinaryArray:
+    """Bytes cut at these ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 _seeds: dict[str, dict[str, int]] = {}
@@ -207,14 +242,15 @@ def _seed_numbers(uri: str) -> dict[str, int]:
     if uri not in _seeds:
         _seeds.clear()
         x = np.load(io.BytesIO(read_bytes(uri)))
-        _seeds[uri] = {w.decode(errors="surrogateescape"): i for i, w in enumerate(_parts(x["words"].tobytes(), x["word_ends"]))}
+        words = as_binary(x["words"], x["word_ends"]).to_pylist()
+        _seeds[uri] = {w.decode(errors="surrogateescape"): i for i, w in enumerate(words)}
     return _seeds[uri]
 
 
-_seeds_encoded: dict[str, tuple[list[bytes], list[bytes]]] = {}
+_seeds_encoded: dict[str, tuple[pa.BinaryArray, pa.BinaryArray]] = {}
 
 
-def _seed_ids(uri: str, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+def _seed_ids(uri: str, pieces: pa.BinaryArray) -> tuple[pa.BinaryArray, pa.BinaryArray]:
     """The ids of each word of the sample and their bytes, by its number; read once by each worker process."""
     if uri not in _seeds_encoded:
         _seeds_encoded.clear()
@@ -223,15 +259,9 @@ def _seed_ids(uri: str, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     return _seeds_encoded[uri]
 
 
-def _decoded(ids: np.ndarray, ends: np.ndarray, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+def _decoded(ids: np.ndarray, ends: np.ndarray, pieces: pa.BinaryArray) -> tuple[pa.BinaryArray, pa.BinaryArray]:
     """The ids of each word, and their pieces joined."""
-    own, stops = ids.tolist(), [0, *ends.tolist()]
-    return _parts(ids.tobytes(), 4 * ends), [b"".join(map(pieces.__getitem__, own[a:z])) for a, z in zip(stops, stops[1:], strict=False)]
-
-
-def _parts(data: bytes, ends: np.ndarray) -> list[bytes]:
-    stops = [0, *ends.tolist()]
-    return [data[a:z] for a, z in zip(stops, stops[1:], strict=False)]
+    return as_binary(ids, 4 * ends), as_binary(*joined_parts(pieces, pa.array(ids), ends))
 
 
 # ---- long words
@@ -303,22 +333,16 @@ def stitch(windows: list[list[int]], pieces: list[bytes], ranks: dict[bytes, int
     return [i for _, _, i in known]
 
 
-def _with_windows(numbers: list[int], ids_of: list[bytes], decoded_of: list[bytes], pieces: list[bytes], ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
-    """The ids of a text that has long words, and their bytes."""
-    out, plain, i = [], [], 0
-    while i < len(numbers):
-        if numbers[i] == WINDOWS:
-            n = numbers[i + 1]
-            windows = [np.frombuffer(ids_of[x], "<u4").tolist() for x in numbers[i + 2 : i + 2 + n]]
-            own = stitch(windows, pieces, ranks)
-            out.append(np.array(own, "<u4").tobytes())
-            plain += map(pieces.__getitem__, own)
-            i += 2 + n
-        else:
-            out.append(ids_of[numbers[i]])
-            plain.append(decoded_of[numbers[i]])
-            i += 1
-    return b"".join(out), b"".join(plain)
+def _without_windows(numbers: np.ndarray, ends: np.ndarray, ids_of: pa.BinaryArray, pieces: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Numbers and ends with each long word as one number, beyond those of ids_of, and the ids of the long words."""
+    numbers, kept, long_words = numbers.copy(), np.ones(len(numbers), bool), []
+    for at in np.flatnonzero(numbers == WINDOWS).tolist():
+        end = at + 2 + int(numbers[at + 1])
+        windows = [np.frombuffer(x, "<u4").tolist() for x in ids_of.take(pa.array(numbers[at + 2 : end])).to_pylist()]
+        numbers[at] = len(ids_of) + len(long_words)
+        kept[at + 1 : end] = False
+        long_words.append(stitch(windows, pieces, ranks))
+    return numbers[kept], np.concatenate([[0], np.cumsum(kept)])[ends], long_words
 
 
 def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame:
@@ -328,28 +352,16 @@ def _cut(rows: DataFrame, pattern: str, seed: str | None, ids_kind) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # a worker may have served other operators before
-        own, anew, keys, held, size = Words(pattern, _seed_numbers(seed) if seed else {}), True, [], [], 0
-
-        def block():
-            ends = np.cumsum([len(x) // 4 for x in held], dtype=np.int64)
-            row = [keys, ends.tobytes(), b"".join(held), own.new, anew]
-            types = [pa.list_(kind), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["keys", "ends", "numbers", "words", "anew"])
-
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_py()
-                keys.append(k)
-                held.append(own.of(t))
-                size += len(t)
-                if size >= BLOCK_CHARS:
-                    yield block()
-                    own.new, anew, keys, held, size = [], False, [], [], 0
-                    if len(own.numbers) > REMEMBERED:
-                        own.reset()
-                        anew = True
-        if keys:
-            yield block()
+        own, anew = Words(pattern, _seed_numbers(seed) if seed else {}), True
+        types = [pa.list_(kind), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.bool_()]
+        for b in in_blocks(batches):
+            numbers, ends = own.of(b.column(1))
+            row = [b.column(0).to_pylist(), ends.tobytes(), numbers.to_pybytes(), own.new, anew]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["keys", "ends", "numbers", "words", "anew"])
+            own.new, anew = [], False
+            if len(own.numbers) > REMEMBERED:
+                own.reset()
+                anew = True
 
     return rows.mapInArrow(run, schema)
 
@@ -367,12 +379,11 @@ def sample_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> str
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(pattern, {})
-        for b in batches:
-            for t in b.column(0):
-                own.of(t.as_py())
-                if len(own.new) >= REMEMBERED:
-                    yield pa.RecordBatch.from_arrays([pa.array(own.new, pa.binary())], names=["word"])
-                    own.reset()
+        for b in in_blocks(batches):
+            own.of(b.column(0))
+            if len(own.new) >= REMEMBERED:
+                yield pa.RecordBatch.from_arrays([pa.array(own.new, pa.binary())], names=["word"])
+                own.reset()
         yield pa.RecordBatch.from_arrays([pa.array(own.new, pa.binary())], names=["word"])
 
     # words that more tasks meet come first
@@ -418,30 +429,25 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
             pieces[r] = token
-        first = _seed_ids(seed, pieces) if seed else ([], [])
-        ids_of, decoded_of = map(list, first)
+        piece_of = pa.array(pieces, pa.binary())
+        first = _seed_ids(seed, piece_of) if seed else (pa.array([], pa.binary()),) * 2
         for b in batches:
             for row in range(b.num_rows):
                 keys, ends, numbers, words, anew = (c[row] for c in b.columns)
                 if anew.as_py():
-                    ids_of, decoded_of = map(list, first)
+                    ids_of, decoded_of = first
                 if len(words):
                     flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                    for held, new in zip((ids_of, decoded_of), _decoded(flat, np.cumsum(words.values.value_lengths().to_numpy()), pieces), strict=True):
-                        held += new
-                own = np.frombuffer(numbers.as_buffer(), "<u4")
-                windows = (own == WINDOWS).any()
-                own = own.tolist()
-                stops = [0, *np.frombuffer(ends.as_buffer(), np.int64).tolist()]
-                ids, decoded = [], []
-                for x in (own[a:z] for a, z in zip(stops, stops[1:], strict=False)):
-                    if windows and WINDOWS in x:
-                        i, d = _with_windows(x, ids_of, decoded_of, pieces, ranks)
-                    else:
-                        i, d = b"".join(map(ids_of.__getitem__, x)), b"".join(map(decoded_of.__getitem__, x))
-                    ids.append(i)
-                    decoded.append(d)
-                columns = [pa.array(keys.as_py(), arrow_kind), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+                    new = _decoded(flat, np.cumsum(words.values.value_lengths().to_numpy()), piece_of)
+                    ids_of, decoded_of = pa.concat_arrays([ids_of, new[0]]), pa.concat_arrays([decoded_of, new[1]])
+                own, stops = np.frombuffer(numbers.as_buffer(), "<u4"), np.frombuffer(ends.as_buffer(), np.int64)
+                own_ids, own_decoded = ids_of, decoded_of
+                if (own == WINDOWS).any():
+                    own, stops, long_words = _without_windows(own, stops, ids_of, pieces, ranks)
+                    new = _decoded(np.concatenate(long_words).astype("<u4"), np.cumsum([len(x) for x in long_words]), piece_of)
+                    own_ids, own_decoded = pa.concat_arrays([ids_of, new[0]]), pa.concat_arrays([decoded_of, new[1]])
+                own = pa.array(own)
+                columns = [pa.array(keys.as_py(), arrow_kind), *(as_binary(*joined_parts(x, own, stops)) for x in (own_ids, own_decoded))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, "ids", "decoded"])
 
     return blocks.mapInArrow(run, f"{id_column} {kind.simpleString()}, ids binary, decoded binary")

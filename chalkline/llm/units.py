@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space apart from the blank and the newline.
-_OTHER_SPACE = re.compile("[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_OTHER = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_OTHER_SPACE = re.compile(_OTHER)
+#: Texts that split(" ") does not cut rightly, for RE2.
+_ODD = r"\A\z|[ \n][ \n]|\A[ \n]|[ \n]\z|" + _OTHER
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 MARKS = ".,;:!?#$%&*|\"()[]"
 LITERAL = "\0"
@@ -28,11 +35,18 @@ def units(text: str) -> list[str]:
     return out
 
 
-def unit_text(key: str) -> str:
-    return key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key
+def unit_array(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The units of all texts, one after another, and how many there are up to the end of each text."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    cut = pc.split_pattern(pc.binary_join_element_wise(LITERAL, pc.replace_substring(texts, "\n", " \n"), ""), " ")
+    keys, stops = cut.values, cut.offsets.to_numpy()
+    parts, counts, at = [], np.diff(stops), 0
+    for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        own = units(texts[i].as_py())
+        parts += [keys[stops[at] : stops[i]], pa.array(own, pa.string())]
+        counts[i], at = len(own), i + 1
+    return pa.concat_arrays([*parts, keys[stops[at] : stops[-1]]]), np.cumsum(counts, dtype=np.int64)
 
 
-def core_and_marks(text: str) -> tuple[str, str]:
-    """A unit and the punctuation after its last letter or digit, which is a piece of its own."""
-    core = text.rstrip(MARKS)
-    return (core, text[len(core) :]) if core and core[-1].isalnum() else (text, "")
+def unit_text(key: str) -> str:
+    return key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key

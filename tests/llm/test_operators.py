@@ -6,18 +6,20 @@ import hashlib
 import io
 import random
 import re
+import sys
 import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chalkline.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, shared, simhash, token_files, url_filter, warc
+from chalkline.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, shared, simhash, token_files, units, url_filter, warc
 
 WORD = "[^\x20\x09-\x0d]+"
 ODD = ["", None, " ", "\n", "a", "two  blanks ", "tab\tand\r\nlines", "é ü 日本 🙂", "x" * 5000, "word " * 3000, "same text here now", "same text here now", "\0 zero"]
@@ -389,6 +391,52 @@ def test_windows_without_a_common_token(monkeypatch):
         assert bpe.stitch(windows, pieces, ranks) == own.encode_ordinary(data.decode())
 
 
+def test_bpe_looks_at_each_piece_of_a_block_once():
+    """Copies in a block cost no further calls in Python."""
+
+    def calls(texts):
+        words, n = bpe.Words(public_tokenizers.PATTERN, {}), 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            numbers, ends = words.of(pa.array(texts))
+        finally:
+            sys.setprofile(None)
+        return n, numbers.to_pybytes(), ends.tolist(), words.new
+
+    text = " ".join(noise(1, ["the", "th", "er", "é", " ", "12", ","], 60)[0].split()) + " it's done, (at) last"
+    once, many = calls([text]), calls([text] * 1000)
+    assert many[0] <= once[0] + 50
+    assert many[1] == once[1] * 1000 and many[2] == [once[2][0] * (i + 1) for i in range(1000)] and many[3] == once[3]
+
+
+def test_units_of_a_block_are_those_of_its_texts():
+    texts = [x or "" for x in ODD] + ["  a b", "x\ty z", "a\nb c", "end\n", "\x00", " \n", "a\x85b c", "l\u3000m n", "m\xa0n o", "p \n q", "r\n\ns", "plain text, here"] * 2
+    keys, ends = units.unit_array(pa.array(texts))
+    own = [units.units(t) for t in texts]
+    assert keys.to_pylist() == [k for x in own for k in x]
+    assert ends.tolist() == np.cumsum([len(x) for x in own]).tolist()
+
+
+def test_bpe_of_long_words_among_short_ones(spark, monkeypatch):
+    """With few words encoded beforehand; blocks (cut here, as workers have the usual size) keep all rows in order."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = ODD + ["a " + "qz" * 200 + " b", "ÃÂ" * 300 + " and " + "=" * 400, ""] + noise(3, ["the", "er", "é", " ", "\n", ","], 60)
+    docs = documents(spark, texts)
+    for name, value in (("BLOCK_BYTES", 100), ("SAMPLE_WORDS", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    got = collections.Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.encode(docs, path, public_tokenizers.PATTERN).collect())
+    assert got == collections.Counter((r.doc_id, np.array(own.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect())
+    blocks = list(bpe.in_blocks(iter([pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (10, 95, 1, 300, 0, 0, 99)])], names=["t"])] * 2)))
+    assert all(sum(map(len, b.column(0).to_pylist()[:-1])) < 100 for b in blocks)
+    assert [len(x) for b in blocks for x in b.column(0).to_pylist()] == [10, 95, 1, 300, 0, 0, 99] * 2
+
+
 def test_bpe_with_another_pattern(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=bpe.read_ranks(path), special_tokens={})
