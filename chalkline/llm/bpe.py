@@ -148,18 +148,19 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
 # ---- words of texts
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches whose last column has about BLOCK_BYTES bytes."""
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose last column has about so many bytes, BLOCK_BYTES if not stated."""
+    most = BLOCK_BYTES if most is None else most
     held, size = [], 0
     for b in batches:
         ends = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy(), dtype=np.int64)
         at = 0
         while at < b.num_rows:
             before = int(ends[at - 1]) if at else 0
-            end = min(b.num_rows, int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1)
+            end = min(b.num_rows, int(np.searchsorted(ends, before + most - size)) + 1)
             held.append(b[at:end])
             size += int(ends[end - 1]) - before
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield pa.concat_batches(held) if len(held) > 1 else held[0]
                 held, size = [], 0
             at = end
@@ -220,10 +221,11 @@ class Words:
         return joined_parts(pa.array(numbers, pa.binary()), coded.indices, ends, 4)
 
 
-def joined_parts(parts: pa.BinaryArray, indices, ends: np.ndarray, width: int = 1) -> tuple[pa.Buffer, np.ndarray]:
+def joined_parts(parts: pa.BinaryArray | pa.LargeBinaryArray, indices, ends: np.ndarray, width: int = 1) -> tuple[pa.Buffer, np.ndarray]:
     """The parts with these indices put together, and where what stands before each end does end, in steps of width bytes."""
     taken = parts.take(indices)
-    stops = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    kind = np.int64 if pa.types.is_large_binary(parts.type) else np.int32
+    stops = np.frombuffer(taken.buffers()[1], kind)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, kind)
     data = (taken.buffers()[2] or pa.py_buffer(b""))[int(stops[0]) : int(stops[-1])]
     return data, ((stops[ends] - stops[0]) // width).astype(np.int64)
 

@@ -17,24 +17,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import in_blocks, joined_parts
 from .files import create_folder, open_input, open_output, write_bytes
 from .shared import shared_folder, written
-from .units import LITERAL, MARKS, unit_text, units
+from .units import LITERAL, MARKS, unit_array, unit_text
 
 END_ID = 2
+#: Bytes of the texts that are encoded together.
+BLOCK_BYTES = 8 << 20
 #: Encodings of units that one Python worker remembers; beyond, it keeps those in its present texts.
 REMEMBERED = 1_000_000
+#: New units that go to the library in one text, and in one call.
+IN_A_TEXT, TOGETHER = 200, 10_000
 BUCKET = 2
 MANIFEST = "shard int, payload string, index string, n_docs bigint, n_tokens bigint, first string, last string"
 
 
 class UnitEncoder:
-    """A tokenizer of the tokenizers library that encodes each distinct unit once."""
+    """A byte-level tokenizer of the tokenizers library that encodes each distinct unit once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -43,71 +49,103 @@ class UnitEncoder:
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         #: Strings that the library takes as tokens of their own, wherever they stand in a text.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else -1
+        #: Bytes that each id stands for: a character of a token is a byte of the text.
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts that hold the string of an added token are encoded whole; units of the others hold none."""
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        if not whole:
-            return self._encode_units(texts)
-        held = set(whole)
-        out = dict(zip((i for i in range(len(texts)) if i not in held), self._encode_units([t for i, t in enumerate(texts) if i not in held]), strict=True))
-        for i in whole:
-            out[i] = self._encode_each([texts[i]])[0] + self.end
-        return [out[i] for i in range(len(texts))]
-
-    def _encode_units(self, texts: list[str]) -> list[bytes]:
-        keys = [units(t) for t in texts]
-        own = set().union(*keys)
-        if len(self.known) > REMEMBERED:
-            self.known = {k: self.known[k] for k in own if k in self.known}
-        self._learn(own.difference(self.known))
-        known = self.known.__getitem__
-        return [b"".join(map(known, own)) + self.end for own in keys]
+    def encode(self, texts: pa.StringArray) -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of all texts, END_ID after each, and how many there are up to the end of each text.
+
+        Texts that hold the string of an added token are encoded whole; units of the others hold none.
+        """
+        held = np.zeros(len(texts), bool)
+        for a in self.added:
+            held |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        keys, ends = unit_array(pc.if_else(pa.array(held), "", texts) if held.any() else texts)
+        coded = keys.dictionary_encode()
+        parts, places = self._ids_of(coded.dictionary)
+        last = np.full(len(texts), len(parts))
+        last[held] = len(parts) + 1 + np.arange(held.sum())
+        more = [self.end, *(x + self.end for x in self._encode_each(texts.filter(pa.array(held)).to_pylist()))]
+        indices = np.insert(places[coded.indices.to_numpy()], ends, last)
+        return joined_parts(pa.concat_arrays([parts, pa.array(more, pa.large_binary())]), pa.array(indices), ends + np.arange(1, len(texts) + 1), self.dtype.itemsize)
+
+    def _ids_of(self, keys: pa.StringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Ids of distinct units, and the place of each unit's own. Those of words with marks after them are put together from the two."""
+        stems = pc.utf8_rtrim(keys, MARKS)
+        sizes = pc.utf8_length(stems).to_numpy()
+        marked = np.flatnonzero(sizes < pc.utf8_length(keys).to_numpy())
+        marked = marked[pc.match_substring_regex(stems.take(pa.array(marked)), r"[\pL\pN]\z").to_numpy(zero_copy_only=False)]
+        apart = np.zeros(len(keys), bool)
+        apart[marked] = True
+        coded = pc.if_else(pa.array(apart), stems, keys).dictionary_encode()
+        own, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        marks = [LITERAL + k[n:] for k, n in zip(keys.take(pa.array(marked)).to_pylist(), sizes[marked].tolist(), strict=True)]
+        known = self.known
+        self._learn([k for k in {*own, *marks} if k not in known])
+        if len(known) > REMEMBERED:
+            self.known = {k: known[k] for k in {*own, *marks}}
+        parts = pa.array(list(map(known.__getitem__, own)), pa.large_binary())
+        joined = pc.binary_join_element_wise(parts.take(pa.array(places[marked])), pa.array(list(map(known.__getitem__, marks)), pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        places[marked] = len(parts) + np.arange(len(marked))
+        return pa.concat_arrays([parts, joined]), places
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_lines(self, texts: list[str]) -> list[bytes]:
-        """Texts that begin with a blank and hold no line end, many at a time: a line end between two is a token of its own."""
-        out: list[bytes] = []
-        parts = [texts[i : i + 2000] for i in range(0, len(texts), 2000)]
-        width = self.dtype.itemsize
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            cuts = (np.flatnonzero(ids == self.line_end) * width).tolist()
-            if len(cuts) != len(part) - 1:
-                out += self._encode_each(part)
-                continue
-            data = ids.tobytes()
-            out += [data[a:z] for a, z in zip([0, *(c + width for c in cuts)], [*cuts, len(data)], strict=True)]
-        return out
+    def _learn(self, new: list[str]) -> None:
+        """Units that a blank or a line end precedes are encoded many at a time, as one text.
 
-    def _learn(self, new: set[str]) -> None:
-        """Words with marks after them are put together from the two."""
-        known, parted, missing = self.known, [], set()
+        Of the others, those without white space get a line end before them, which is a token of its own.
+        """
+        known, each = self.known, []
+        keys, pieces, bare = [], [], []
         for k in new:
-            core = k.rstrip(MARKS)
-            if len(core) == len(k) or k[0] in "\0\n" or not core or not core[-1].isalnum():
-                missing.add(k)
+            if k[0] != LITERAL:
+                keys.append(k)
+                pieces.append(k if k[0] == "\n" else " " + k)
+                bare.append(False)
                 continue
-            marks = LITERAL + k[len(core) :]
-            parted.append((k, core, marks))
-            if core not in known:
-                missing.add(core)
-            if marks not in known:
-                missing.add(marks)
-        plain = [k for k in missing if k[0] not in "\0\n" and "\n" not in k]
-        odd = [k for k in missing if k[0] in "\0\n" or "\n" in k]
-        known.update(zip(plain, self._encode_lines([" " + k for k in plain]), strict=True))
-        known.update(zip(odd, self._encode_each([unit_text(k) for k in odd]), strict=True))
-        for k, core, marks in parted:
-            known[k] = known[core] + known[marks]
+            text = k[1:]
+            led = text[:1] in (" ", "\n")
+            word = text[1:] if led else text
+            if word.split() == [word] and (led or self.line_end >= 0):
+                keys.append(k)
+                pieces.append(text if led else "\n" + text)
+                bare.append(not led)
+            else:
+                each.append(k)
+        for i in range(0, len(keys), TOGETHER):
+            part = slice(i, i + TOGETHER)
+            each += self._learn_together(keys[part], pieces[part], np.array(bare[part]))
+        for i in range(0, len(each), TOGETHER):
+            part = each[i : i + TOGETHER]
+            known.update(zip(part, self._encode_each([unit_text(k) for k in part]), strict=True))
+
+    def _learn_together(self, keys: list[str], pieces: list[str], bare: np.ndarray) -> list[str]:
+        """Encodes the pieces as texts of IN_A_TEXT, without the first id of bare ones; returns the keys where tokens do not end as pieces do."""
+        texts = ["".join(pieces[i : i + IN_A_TEXT]) for i in range(0, len(pieces), IN_A_TEXT)]
+        found = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        token_ends = np.cumsum(self.widths[ids])
+        piece_ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy())
+        at = np.searchsorted(token_ends, piece_ends)
+        stops = at + 1
+        starts = np.concatenate([[0], stops[:-1]])
+        right = token_ends[-1] == piece_ends[-1] and (token_ends[at] == piece_ends).all() and (ids[starts[bare]] == self.line_end).all()
+        if not right:
+            return keys
+        starts = (starts + bare) * self.dtype.itemsize
+        data = ids.tobytes()
+        self.known.update(zip(keys, [data[a:z] for a, z in zip(starts.tolist(), (stops * self.dtype.itemsize).tolist(), strict=True)], strict=True))
+        return []
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -263,17 +301,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, copies, starts, lengths = [], [], [], []
         own, at, name, out = encoder(vocabulary), 0, uuid.uuid4().hex, None
-        for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1)
-            for k in range(0, len(names), 1024):
-                for i, data in zip(names[k : k + 1024], own.encode(texts.slice(k, 1024).to_pylist()), strict=True):
-                    out = out or open_output(f"{path}/{name}.ids")
-                    out.write(data)
-                    copies.append(copies[-1] + 1 if ids and ids[-1] == i else 0)
-                    ids.append(i)
-                    starts.append(at)
-                    lengths.append(len(data) // own.dtype.itemsize)
-                    at += lengths[-1]
+        for b in in_blocks(batches, BLOCK_BYTES):
+            data, ends = own.encode(b.column(1).cast(pa.string()))
+            out = out or open_output(f"{path}/{name}.ids")
+            out.write(data)
+            for i in b.column(0).to_pylist():
+                copies.append(copies[-1] + 1 if ids and ids[-1] == i else 0)
+                ids.append(i)
+            stops = [0, *ends.tolist()]
+            starts += [at + x for x in stops[:-1]]
+            lengths += np.diff(stops).tolist()
+            at += stops[-1]
         if out is None:
             return
         out.close()

@@ -275,6 +275,53 @@ def test_token_files_with_strings_of_added_tokens(spark):
     assert got == [(s, len(e), zlib.crc32(np.array(e, "<u4").tobytes())) for s, e in zip(starts, expected)]
 
 
+class CountedTokenizer:
+    """Counts the ids that the library makes."""
+
+    def __init__(self, own):
+        self.own, self.made = own, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        out = self.own.encode_batch_fast(texts, **kw)
+        self.made += sum(len(e.ids) for e in out)
+        return out
+
+
+def encoded_texts(own, texts):
+    data, ends = own.encode(pa.array(texts, pa.string()))
+    ids = np.frombuffer(data, own.dtype).tolist()
+    return [ids[a:z] for a, z in zip([0, *ends], ends)]
+
+
+def test_each_distinct_word_is_encoded_once_and_alone():
+    own = token_files.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in ("an", "èr", "ou", "日") for c in ("zil", "mop", "té", "ushe")]
+    texts = [f"{w}, {v}. {w} {v}:\n{w}! {w}? {v}; {v}\n{v}" for w in words for v in words[::7]]
+    expected = [own.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    alone = sum(len(own.tokenizer.encode(x + w, add_special_tokens=False).ids) for w in words for x in (" ", "\n", "\n"))
+    own.tokenizer = counted = CountedTokenizer(own.tokenizer)
+    assert encoded_texts(own, texts) == expected
+    # no line ends between words, and no word again for the marks after it
+    assert counted.made <= alone + 20
+    assert encoded_texts(own, texts[::-1]) == expected[::-1] and counted.made <= alone + 20
+
+
+@pytest.mark.parametrize("remembered, in_a_text, together", [(1_000_000, 200, 10_000), (10, 3, 7)])
+def test_encoded_texts_are_those_of_the_library(monkeypatch, remembered, in_a_text, together):
+    for name, value in (("REMEMBERED", remembered), ("IN_A_TEXT", in_a_text), ("TOGETHER", together)):
+        monkeypatch.setattr(token_files, name, value)
+    own = token_files.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    pieces = ["a", "the", "don't", "'s", "été", "日本", "🙂", "x²", "Ⅷ", "٣", "42", "a1b", ",", ".", "|>", "<|", "<|endoftext|>", "(", "\0", " ", " ", " ", " ", "\n", "\n", "  ", "\t", "\r\n", "\u00a0", "\u2003", "\x85", "\x1c", "_", "-", "e\u0301"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)]
+    expected = [own.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [x for i in range(0, 3000, 500) for x in encoded_texts(own, texts[i : i + 500])] == expected
+    assert encoded_texts(own, []) == [] and encoded_texts(own, ["", ""]) == [[2], [2]] and encoded_texts(own, ["<|endoftext|>"]) == [[50256, 2]]
+    own.known.clear()
+    own.widths[:] = 1  # tokens no longer seem to end where words do
+    assert encoded_texts(own, texts[:300]) == expected[:300]
+
+
 def test_one_lookup_reads_one_slot():
     n = 20_000
     data = token_files.index_bytes([None, *(str(i) for i in range(1, n))], [0] * n, list(range(0, 3 * n, 3)), [3] * n)
